@@ -15,6 +15,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_LAYERS = 4
 TRIAL_CHUNKS = 2
@@ -41,7 +42,7 @@ SUSPECT = "|".join(
         r"\p{Ll}\p{Lu}",  # case breaks inside a word
         r"[A-Za-zÀ-ɏ]\p{IsCyrillic}|\p{IsCyrillic}[A-Za-zÀ-ɏ]",
         r"[À-ÆÈ-ÕØ-Ûà-ãåæè-õø-ûÿ]{3}|[À-ÿ]{5}",
-        rf"[\\p{{L}}&&[^\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}]][{SYMBOLS_IN_WORD}&&[^’‘]]+\\p{{L}}|[{SYMBOLS_IN_WORD}&&[^¡¿]]{{2}}(?<![»”“]\\W)",
+        rf"[\p{{L}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]][{SYMBOLS_IN_WORD}&&[^’‘]]+\p{{L}}|[{SYMBOLS_IN_WORD}&&[^¡¿]]{{2}}(?<![»”“]\W)",
         rf"[ÄÂâГΓ][{SYMBOLS_IN_WORD}]",
         r"[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЁЄЇ]{2}|[а-яА-Я][®©¬«»¤§ ][а-я]",
         r"\p{L}\?\p{Ll}",
@@ -244,7 +245,7 @@ def suspect(c: Column) -> Column:
 
 def repair_suspects(df: DataFrame, text: str) -> DataFrame:
     """Adds repaired, damaged and layers to rows that are worth a look (`suspect`); other columns pass unchanged."""
-    schema = df.schema.add("repaired", "string").add("damaged", "boolean").add("layers", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("repaired", T.StringType()), T.StructField("damaged", T.BooleanType()), T.StructField("layers", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
