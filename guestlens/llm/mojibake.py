@@ -1,6 +1,6 @@
 """Text decoded with the wrong character encoding: find it and undo it by round trips.
 
-A JVM-side pattern finds the values worth a look (a few per cent). For those, the text is re-encoded under candidate
+A pass over character classes finds the values worth a look (a few per cent). For those, the text is re-encoded under candidate
 legacy encodings, strictly decoded as the intended encoding, chunk by chunk, and the result is kept when a garbling
 cost drops; this repeats for nested layers. What stays garbled without a repair is reported as damaged, not restored.
 """
@@ -11,9 +11,10 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +36,57 @@ SYMBOLS_IN_WORD = r"¡-©«-¶¸¹»-¿×÷ˆ˜–—‘‚-„†-•…‰‹
 JUNK = r"\u0080-\u009f�─-▯-"
 ODD_LETTERS = r"ÃÅÐÞØÕÝðþøõýåãŸžŽšŠƒµ¶ˆ˜"
 
-#: Java pattern of values worth a look; every damaged value must match it, clean ones rarely do.
-SUSPECT = "|".join(
-    [
-        f"[{JUNK}{ODD_LETTERS}]",
-        r"\p{Ll}\p{Lu}",  # case breaks inside a word
-        r"[A-Za-zÀ-ɏ]\p{IsCyrillic}|\p{IsCyrillic}[A-Za-zÀ-ɏ]",
-        r"[À-ÆÈ-ÕØ-Ûà-ãåæè-õø-ûÿ]{3}|[À-ÿ]{5}",
-        rf"[\p{{L}}&&[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]][{SYMBOLS_IN_WORD}&&[^’‘]]+\p{{L}}|[{SYMBOLS_IN_WORD}&&[^¡¿]]{{2}}(?<![»”“]\W)",
-        rf"[ÄÂâГΓ][{SYMBOLS_IN_WORD}]",
-        r"[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЁЄЇ]{2}|[а-яА-Я][®©¬«»¤§ ][а-я]",
-        r"\p{L}\?\p{Ll}",
-        r"\p{Lu}\p{Lu}[а-яё]|[A-Z][ÀÈÉÊËÌÍÎÏÒÓÔÙÚÛÑÖÜÄÇ][a-z]|\d [ÈËÀ]\p{Ll}",
-        r"(?<![\p{L}])[а-яё][А-ЯЁ]",
-    ]
-)
+# Character classes of the first look: values are worth more where a class or a pair of neighbours is suspicious.
+(PLAIN, LOWER, UPPER, TURKIC_LOWER, TURKIC_UPPER, ACCENT_LOWER, ACCENT_UPPER, CYRILLIC_LOWER, CYRILLIC_UPPER, SYMBOL, QUESTION, BAD) = range(12)
+# Letters of the first look that stand in ordinary words side by side, and capitals that hardly open a word.
+TURKIC = "çğıöşüəâîäß"
+RARE_CAPITALS = "ÈËÌÒÙÏÎÔ"
+
+
+@lru_cache(maxsize=1)
+def first_look() -> tuple[np.ndarray, np.ndarray]:
+    """Class per code point, and the suspicious pairs of classes."""
+    n = 0x20000
+    classes = np.zeros(n, np.uint8)
+    bad, symbol = re.compile(f"[{JUNK}ÃÅÐÞØÕÝðþøõýåãŸžŽšŠƒµ¶ˆ˜ЂЃѓЉЊЌЋЏђљњќћџЎўЈѕЅјҐ{RARE_CAPITALS}]"), re.compile(f"[{SYMBOLS_IN_WORD}]")
+    for c in range(n):
+        ch = chr(c)
+        if bad.match(ch) or c in (0xAD,):
+            classes[c] = BAD
+        elif c < 128:
+            classes[c] = LOWER if ch.islower() else UPPER if ch.isupper() else QUESTION if ch == "?" else PLAIN
+        elif ch in "…“”«»„’‘¿¡№":
+            classes[c] = PLAIN
+        elif symbol.match(ch):
+            classes[c] = SYMBOL
+        elif ch in TURKIC:
+            classes[c] = TURKIC_LOWER
+        elif ch.lower() in TURKIC or ch == "İ":
+            classes[c] = TURKIC_UPPER
+        elif 0x0400 <= c < 0x0530:
+            classes[c] = CYRILLIC_LOWER if ch.islower() else CYRILLIC_UPPER
+        elif c < 0x0250 and ch.isalpha():
+            classes[c] = ACCENT_LOWER if ch.islower() else ACCENT_UPPER
+    lower, upper = [LOWER, TURKIC_LOWER, ACCENT_LOWER, CYRILLIC_LOWER], [UPPER, TURKIC_UPPER, ACCENT_UPPER, CYRILLIC_UPPER]
+    latin, cyrillic = [LOWER, UPPER, TURKIC_LOWER, TURKIC_UPPER, ACCENT_LOWER, ACCENT_UPPER], [CYRILLIC_LOWER, CYRILLIC_UPPER]
+    pairs = np.zeros((12, 12), bool)
+    for x, y in ((lower, upper), (latin, cyrillic), (cyrillic, latin), (latin + cyrillic, [SYMBOL]), ([SYMBOL], [SYMBOL]), ([QUESTION], lower), ([ACCENT_LOWER, ACCENT_UPPER], [ACCENT_LOWER, ACCENT_UPPER]), ([UPPER, TURKIC_UPPER], [ACCENT_UPPER])):
+        pairs[np.ix_(x, y)] = True
+    pairs[BAD, :] = True
+    return classes, pairs
+
+
+def worth_a_look(texts: list[str]) -> np.ndarray:
+    """Which texts hold a suspicious character or pair; one pass over all of them at once."""
+    classes, pairs = first_look()
+    cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = classes[np.where(cps < 0x20000, cps, 0)]
+    hits = np.flatnonzero(pairs[c[:-1], c[1:]])
+    out = np.zeros(len(texts), bool)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    out[np.searchsorted(starts, hits, "right") - 1] = True
+    return out
+
 
 COSTS = [
     (regex.compile(r"[\u0080-\u009f]"), 3.0),
@@ -239,22 +276,23 @@ def repair(text: str | None) -> tuple[str | None, bool, str | None]:
     return text, bool(SURE.search(text)), None
 
 
-def suspect(c: Column) -> Column:
-    return c.rlike(SUSPECT)
+def repaired_texts(texts: list[str]) -> list[str]:
+    """The texts with what a wrong decoding did undone."""
+    return [repair(t)[0] if look else t for t, look in zip(texts, worth_a_look(texts))]
+
 
+def damaged_rows(df: DataFrame, text: str) -> DataFrame:
+    """The rows whose text is damaged, with `restored` (NULL: the original can't be had) and `layers` (the round trips).
 
-def repair_suspects(df: DataFrame, text: str) -> DataFrame:
-    """Adds repaired, damaged and layers to rows that are worth a look (`suspect`); other columns pass unchanged."""
-    schema = T.StructType([*df.schema.fields, T.StructField("repaired", T.StringType()), T.StructField("damaged", T.BooleanType()), T.StructField("layers", T.StringType())])
+    NULL and '' are never damaged; repeated rows come out as often as they came in; other columns pass unchanged.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("restored", T.StringType()), T.StructField("layers", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[worth_a_look(pdf[text].tolist())]
             out = [repair(t) for t in pdf[text]]
-            yield pdf.assign(repaired=[o[0] for o in out], damaged=[o[1] for o in out], layers=[o[2] for o in out])
-
-    return df.mapInPandas(run, schema)
-
+            pdf = pdf.assign(restored=[o[0] if o[2] else None for o in out], layers=[o[2] for o in out])
+            yield pdf[[o[1] for o in out]]
 
-def damaged_values(values: DataFrame) -> DataFrame:
-    """The damaged rows of (table_name, record_key, field_name, value), with the text restored where it can be."""
-    return repair_suspects(values.where(suspect(F.col("value"))), "value").where("damaged").select("table_name", "record_key", "field_name", "value", F.when(F.col("layers").isNotNull(), F.col("repaired")).alias("restored"), "layers")
+    return df.where(F.length(text) > 0).mapInPandas(run, schema)
