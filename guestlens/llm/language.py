@@ -54,6 +54,7 @@ SEEDS = {
 }
 
 LATIN, CYRILLIC, ARABIC, HAN, KANA, THAI, DEVANAGARI, OTHER = 1, 2, 3, 4, 5, 6, 7, 8
+PLAIN_LETTER = re.compile(r"[A-Za-z]")
 QUOTED = re.compile(r"[“„«\"「『][^“”„«»\"「」『』\n]{1,60}[”“»\"」』]")
 ADDRESS = re.compile(r"\S*(?:@|＠|www\.|://)\S*")
 TERMINATOR = re.compile(r"[.!?…。！？।؟]+[\"”»“)\]]*(?=\s|$)|[。！？।]+|\n")
@@ -370,7 +371,6 @@ def classify(df: DataFrame, profiles: Profiles, text: str = "value") -> DataFram
     others = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", start_pos bigint, lang string, confidence double, n_stretches int, n_words int"
     shared = (profiles.prototypes, profiles.unit)
-    df = df.withColumn("__suspect", mojibake.suspect(F.col(text)) & (F.length(F.regexp_replace(text, r"[^A-Za-z]", "")) < F.length(text) * 0.4))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Profiles(*shared)
@@ -378,7 +378,8 @@ def classify(df: DataFrame, profiles: Profiles, text: str = "value") -> DataFram
             for k in range(0, len(pdf), SLICE):
                 part = pdf.iloc[k : k + SLICE]
                 stored = [v if isinstance(v, str) else "" for v in part[text]]
-                read = [mojibake.repair(v)[0] if s else v for v, s in zip(stored, part["__suspect"])]
+                # texts of mostly plain letters can be told apart as they are
+                read = [mojibake.repair(v)[0] if look and len(PLAIN_LETTER.findall(v)) < 0.4 * len(v) else v for v, look in zip(stored, mojibake.worth_a_look(stored))]
                 rows, cells = [], []
                 for i, (v, r, ss) in enumerate(zip(stored, read, stretches(read, p))):
                     for pos, lang, conf in ss:
