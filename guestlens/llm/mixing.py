@@ -73,7 +73,7 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
     ranked = ranked.withColumn("v", F.when(F.col("rate") <= 0, 1.0).when(F.col("prob") >= 1, 0.0).otherwise(ratio / (1 + ratio)))
     first, second = F.floor(F.col("v") * CUT_BINS), F.floor((F.col("v") * CUT_BINS - F.floor(F.col("v") * CUT_BINS)) * CUT_BINS)
 
-    def cut(df: DataFrame, by: Column, rests: dict) -> dict:
+    def cut(df: DataFrame, by: Column, rests: dict, closer: bool = False) -> dict:
         rows = df.where("rate > 0").groupBy("mix_name", "source", by.alias("b")).agg(F.sum("n_tokens").alias("t")).collect()  # CUT_BINS rows a source at most
         out = {}
         for k, rest in rests.items():
@@ -81,7 +81,8 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
             before = 0
             for b, t in own:
                 if before + t > rest:
-                    out[k] = (b, before)
+                    # the last step takes the bin that crosses the size where that comes closer
+                    out[k] = (b + 1, before + t) if closer and before + t - rest < rest - before else (b, before)
                     break
                 before += t
             else:
@@ -91,7 +92,7 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
     rests = {(m, s): rest for m, s, _, rest, rate in plan if rate > 0}
     coarse = cut(ranked, first, rests)
     edge = spark.createDataFrame([(m, s, int(b)) for (m, s), (b, _) in coarse.items()], "mix_name string, source string, b1 bigint")
-    fine = cut(ranked.join(F.broadcast(edge), ["mix_name", "source"]).where(first == F.col("b1")), second, {k: rests[k] - coarse[k][1] for k in coarse})
+    fine = cut(ranked.join(F.broadcast(edge), ["mix_name", "source"]).where(first == F.col("b1")), second, {k: rests[k] - coarse[k][1] for k in coarse}, closer=True)
     both = spark.createDataFrame([(m, s, int(coarse[m, s][0]), int(fine[m, s][0])) for m, s in coarse], "mix_name string, source string, b1 bigint, b2 bigint")
     chosen = ranked.join(F.broadcast(both), ["mix_name", "source"], "left").withColumn("extra", F.when((first < F.col("b1")) | (first == F.col("b1")) & (second < F.col("b2")), 1).otherwise(0))
     return chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).where("copies > 0").select("mix_name", "source", key, "n_tokens", "copies")
