@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the core registry."""
 
-from guestlens.plans import timestamps  # noqa: F401
+from guestlens.plans import dashboard, timestamps  # noqa: F401
