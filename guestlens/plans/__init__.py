@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the core registry."""
 
-from guestlens.plans import dashboard, relational, text, timestamps  # noqa: F401
+from guestlens.plans import dashboard, relational, stateful, text, timestamps  # noqa: F401
