@@ -67,12 +67,14 @@ def ellipsis(c: Column, n: int, mark: str = "…") -> Column:
 
 def rating_int(c: Column) -> Column:
     """Whole rating from text: an integer, else a number rounded half to even, clamped to 1-5, else 3."""
-    return F.coalesce(F.least(F.greatest(F.bround(F.replace(c, F.lit(","), F.lit(".")).try_cast("double")), F.lit(1.0)), F.lit(5.0)).cast("int"), F.lit(3))
+    x = F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(x.isNull(), 3).otherwise(F.least(F.greatest(F.bround(x), F.lit(1.0)), F.lit(5.0)).cast("int"))  # greatest skips NULLs
 
 
 def rating_half_up(c: Column) -> Column:
     """floor(x + 0.5) clamped to 1-5; NULL where there is no number."""
-    return F.least(F.greatest(F.floor(F.replace(c, F.lit(","), F.lit(".")).try_cast("double") + 0.5), F.lit(1)), F.lit(5)).cast("int")
+    x = F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(x.isNotNull(), F.least(F.greatest(F.floor(x + 0.5), F.lit(1)), F.lit(5))).cast("int")
 
 
 def chunks(c: Column, size: int) -> Column:

@@ -207,21 +207,21 @@ def prj_enum_label(spark, d):
     return domain.clauses(spark, d).groupBy(F.coalesce(F.element_at(names, F.col("priority")), F.lit("Unknown")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("prj_rating_parse", "SELECT row_id, coalesce(CAST(least(greatest(round_even(rating, 0), 1), 5) AS INT), 3) AS rating FROM scraped_reviews")
+@query("prj_rating_parse", "SELECT row_id, CASE WHEN rating IS NULL THEN 3 ELSE CAST(least(greatest(round_even(rating, 0), 1), 5) AS INT) END AS rating FROM scraped_reviews")
 def prj_rating_parse(spark, d):
     return table(spark, d, "scraped_reviews").select("row_id", tx.rating_int(F.col("rating").cast("string")).alias("rating"))
 
 
-@query("prj_rating_half_up", "SELECT row_id, CAST(least(greatest(floor(rating + 0.5), 1), 5) AS INT) AS rating FROM scraped_reviews")
+@query("prj_rating_half_up", "SELECT row_id, CASE WHEN rating IS NOT NULL THEN CAST(least(greatest(floor(rating + 0.5), 1), 5) AS INT) END AS rating FROM scraped_reviews")
 def prj_rating_half_up(spark, d):
     return table(spark, d, "scraped_reviews").select("row_id", tx.rating_half_up(F.col("rating").cast("string")).alias("rating"))
 
 
-@query("prj_rating_0_5", "SELECT row_id, least(greatest(CASE WHEN rating > 5 THEN rating / 2 ELSE rating END, 0), 5) AS rating FROM scraped_reviews")
+@query("prj_rating_0_5", "SELECT row_id, CASE WHEN rating IS NOT NULL THEN least(greatest(CASE WHEN rating > 5 THEN rating / 2 ELSE rating END, 0), 5) END AS rating FROM scraped_reviews")
 def prj_rating_0_5(spark, d):
     r = F.when(F.col("rating") > 5, F.col("rating") / 2).otherwise(F.col("rating"))
     # least and greatest skip NULLs in both engines, so a missing rating is guarded
-    return table(spark, d, "scraped_reviews").select("row_id", F.least(F.greatest(r, F.lit(0.0)), F.lit(5.0)).alias("rating"))
+    return table(spark, d, "scraped_reviews").select("row_id", F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(0.0)), F.lit(5.0))).alias("rating"))
 
 
 @query("prj_rating_int15", "SELECT row_id, CASE WHEN trunc(rating) BETWEEN 1 AND 5 THEN CAST(trunc(rating) AS INT) END AS rating FROM scraped_reviews")
