@@ -1,0 +1,37 @@
+"""Rule tables as column expressions: term scores, first-match ladders, ordered candidates.
+
+A rule set is a fixed, small dictionary, so it becomes part of the plan (whole-stage code) instead of a joined table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+Rules = list[tuple[str, str, float]]  # (label, term, weight)
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    """The terms the text contains, in rule order."""
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+
+
+def scores(text: Column, rules: Rules) -> Column:
+    """Struct(score, label) per label with a positive score, best first; ties by label."""
+    labels = list(dict.fromkeys(r[0] for r in rules))
+    one = lambda x: sum((F.when(F.contains(text, F.lit(t)), F.lit(w)).otherwise(F.lit(0.0)) for k, t, w in rules if k == x), F.lit(0.0))
+    all_ = F.array(*[F.struct((-one(x)).alias("neg"), F.lit(x).alias("label")) for x in labels])
+    return F.transform(F.array_sort(F.filter(all_, lambda s: s["neg"] < 0)), lambda s: F.struct((-s["neg"]).alias("score"), s["label"].alias("label")))
+
+
+def best(text: Column, rules: Rules, default: str, least: float = 0.0) -> Column:
+    s = scores(text, rules)
+    return F.when((F.size(s) > 0) & (F.get(s, F.lit(0))["score"] >= least), F.get(s, F.lit(0))["label"]).otherwise(F.lit(default))
+
+
+def ladder(text: Column, steps: list[tuple[str, str]], default: str | None) -> Column:
+    """The label of the first pattern that matches."""
+    out = None
+    for pattern, label in steps:
+        out = F.when(text.rlike(pattern), label) if out is None else out.when(text.rlike(pattern), label)
+    return out.otherwise(F.lit(default)) if out is not None else F.lit(default)

@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the core registry."""
 
-from guestlens.plans import dashboard, files, relational, retrieval, stateful, streams, text, timestamps  # noqa: F401
+from guestlens.plans import dashboard, files, relational, retrieval, rules, stateful, streams, text, timestamps  # noqa: F401

@@ -149,3 +149,27 @@ def test_entry_point(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_similarity_join_is_exact(spark):
+    import random
+
+    from guestlens.operators import similarity as sim
+
+    r = random.Random(4)
+    base = [" ".join(r.choices("abcdefghij", k=30)) for _ in range(25)]
+    texts = base + [" ".join(t.split()[:-1] + ["z"]) for t in base] + base[:5] + ["", None, "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {x.id: (x.class_id, x.n_links) for x in sim.links(df, "id", "t").collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(len(t.split()) - 4, 1))} for i, t in enumerate(texts) if t}
+    first = {}
+    for i, t in enumerate(texts):
+        if t:
+            first.setdefault(t, i)
+    reps = sorted(set(first.values()))
+    for i, t in enumerate(texts):
+        if t:
+            c = first[t]
+            n = sum(1 for j in reps if j != c and len(shingles[c] & shingles[j]) / len(shingles[c] | shingles[j]) >= 0.8)
+            assert got[i] == (c, n)
+    assert len(got) == len(texts) - 2
