@@ -27,6 +27,7 @@ LANGS = ("tr", "en", "de", "ru", "fr", "es", "it", "nl", "uk", "az", "ar", "zh",
 BOUNDARY_PRICE, INNER_PRICE = 5.0, 10.0  # price of a language change, in words' worth of evidence
 WORD_CAP = 3.0  # one word's evidence at most
 RETRAIN_ROUNDS = 4
+MEMORY = 400_000  # n-grams whose comparisons a worker keeps
 
 # Names and codes of the languages other than the two-letter code.
 LABELS = {
@@ -135,7 +136,8 @@ class Text:
         three = (left << np.uint64(42)) | (mid << np.uint64(21)) | right
         two = (mid << np.uint64(21)) | right
         alone = scr[at] >= ARABIC  # single letters tell something in the large or unusual alphabets only
-        self.orders = [(three, word[at], 1.0), (two, word[at], 0.7), (mid[alone], word[at][alone], 0.7)]
+        in_word = word[at]
+        self.orders = [(three, in_word, 1.0), (two, in_word, 0.7), (mid[alone], in_word[alone], 0.7)]
         term = np.isin(cps, [ord(c) for c in ".!?…؟"])
         blank = np.isin(cps, [0x20, 0x09, 0x0D, 0xA0])
         hard = np.isin(cps, [ord(c) for c in "\n。！？।/|"])
@@ -160,8 +162,6 @@ class Profiles:
         rows = self.index.get_indexer(distinct)
         new = distinct[rows < 0]
         if len(new):
-            if self.scores.shape[1] > 400_000:  # the memory stays bounded
-                self.index, self.scores, new = pd.Index(np.zeros(0, np.uint64)), self.scores[:, :0], distinct
             parts = [self.prototypes @ bind(new[i : i + 1024]).astype(np.float32).T for i in range(0, len(new), 1024)]
             self.index = self.index.append(pd.Index(new))
             self.scores = np.ascontiguousarray(np.hstack([self.scores, *parts]))
@@ -171,13 +171,25 @@ class Profiles:
     def by_word(self, t: Text) -> np.ndarray:
         """Per word and language the sum of its n-grams' comparisons."""
         n, out = len(t.begin), np.zeros((len(t.begin), len(LANGS)), np.float32)
-        for ids, word, weight in t.orders:
-            if len(ids):
-                rows = self.compare(ids)
-                firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                at = word[firsts]
-                for i, column in enumerate(self.scores):
-                    out[at, i] += np.add.reduceat(column[rows], firsts) * np.float32(weight)
+        if self.scores.shape[1] > MEMORY:
+            self.index, self.scores = pd.Index(np.zeros(0, np.uint64)), self.scores[:, :0]
+        # orders over the same letters are added before the sums per word
+        groups: list[list[tuple[np.ndarray, np.ndarray, float]]] = []
+        for order in t.orders:
+            if groups and groups[-1][0][1] is order[1]:
+                groups[-1].append(order)
+            elif len(order[0]):
+                groups.append([order])
+        for group in groups:
+            word = group[0][1]
+            looked_up = [(self.compare(ids), np.float32(w)) for ids, _, w in group]
+            firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            at = word[firsts]
+            for i, column in enumerate(self.scores):
+                values = column[looked_up[0][0]] * looked_up[0][1]
+                for rows, w in looked_up[1:]:
+                    values += column[rows] * w
+                out[at, i] += np.add.reduceat(values, firsts)
         return out
 
 
