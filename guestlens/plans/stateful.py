@@ -121,8 +121,6 @@ def win_singleton_filter(spark, d):
     return c.where("NOT (n = 1 AND k > 1 AND department = 'Brand#1')").select("review_id", "department")
 
 
-CARRY = "SELECT event_id, max_by(event_type, rk) AS topic FROM (SELECT a.event_id, b.event_type, b.rk FROM e a JOIN e b ON a.user_id = b.user_id AND b.rk < a.rk AND b.event_type IN ('error', 'purchase')) GROUP BY 1"
-
 
 @query("win_context_carry", "SELECT event_id, last_value(CASE WHEN event_type IN ('error', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM events")
 def win_context_carry(spark, d):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from guestlens.functions import text as tx
-from guestlens.operators import relational as rel
 from guestlens.registry import query
 from guestlens.sources import domain
 from guestlens.sources.domain import DOMAIN_SQL as D
