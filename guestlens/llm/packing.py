@@ -9,7 +9,6 @@ handful of containers partly empty, which is all that packing in groups costs.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
