@@ -12,7 +12,6 @@ from guestlens.sources.domain import DOMAIN_SQL as D
 from guestlens.sources.tables import table
 
 ONLY = D.rstrip().rstrip(",")
-C = F.col("comment")
 
 # Term weights of frames, domains, departments, intents; polarity words.
 FRAMES = [("room", "room", 1.5), ("room", "oda", 1.5), ("room", "Zimmer", 1.5), ("noise", "air conditioning", 2.5), ("noise", "klima", 2.5), ("food", "breakfast", 2.0), ("food", "kahvaltı", 2.0), ("food", "restaurant", 1.5), ("food", "restoran", 1.5), ("pool", "pool", 2.0), ("pool", "havuz", 2.0), ("price", "euros", 1.0), ("price", "lira", 1.0), ("price", "avro", 1.0)]
@@ -33,7 +32,7 @@ def register_best(name, source, rules, default, least=0.0):
     @query(name, best_sql(source, rules, default, least))
     def f(spark, d):
         # NULL comments get the default like texts without a hit
-        return table(spark, d, source).select("id", F.coalesce(ru.best(C, rules, default, least), F.lit(default)).alias("label"))
+        return table(spark, d, source).select("id", F.coalesce(ru.best(F.col("comment"), rules, default, least), F.lit(default)).alias("label"))
 
     return f
 
@@ -48,14 +47,14 @@ register_best("cls_intent", "reviews", [("booking", "booking", 1.0), ("booking",
 
 @query("cls_cue_match", f"SELECT term, count(*) AS n FROM reviews JOIN {values(FRAMES)} ON contains(comment, term) GROUP BY 1")
 def cls_cue_match(spark, d):
-    return table(spark, d, "reviews").select(F.explode(ru.hits(C, [t for _, t, _ in FRAMES])).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return table(spark, d, "reviews").select(F.explode(ru.hits(F.col("comment"), [t for _, t, _ in FRAMES])).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 SCORE_SQL = f"SELECT x.id, coalesce(sum(CASE WHEN label = 'positive' THEN weight ELSE -weight END), 0) AS score FROM reviews x LEFT JOIN {values(POLARITY)} ON contains(x.comment, term) WHERE x.comment IS NOT NULL GROUP BY 1"
 
 
 def polarity():
-    return sum((F.when(F.contains(C, F.lit(t)), w if k == "positive" else -w).otherwise(0.0) for k, t, w in POLARITY), F.lit(0.0))
+    return sum((F.when(F.contains(F.col("comment"), F.lit(t)), w if k == "positive" else -w).otherwise(0.0) for k, t, w in POLARITY), F.lit(0.0))
 
 
 @query("cls_sentiment_text", f"WITH s AS ({SCORE_SQL}) SELECT id, round_even(greatest(-1.0, least(1.0, score / 2)), 2) AS score, CASE WHEN score / 2 > 0.08 THEN 'Positive' WHEN score / 2 < -0.08 THEN 'Negative' ELSE 'Neutral' END AS label FROM s")
@@ -86,7 +85,7 @@ def cls_star_predict(spark, d):
 
 @query("cls_phrase_patterns", f"SELECT id, sum(weight) AS score FROM reviews JOIN {values(POLARITY)} ON contains(comment, term) WHERE label = 'negative' GROUP BY 1")
 def cls_phrase_patterns(spark, d):
-    s = sum((F.when(F.contains(C, F.lit(t)), w).otherwise(0.0) for k, t, w in POLARITY if k == "negative"), F.lit(0.0))
+    s = sum((F.when(F.contains(F.col("comment"), F.lit(t)), w).otherwise(0.0) for k, t, w in POLARITY if k == "negative"), F.lit(0.0))
     return table(spark, d, "reviews").select("id", s.alias("score")).where("score > 0")
 
 
@@ -97,12 +96,12 @@ for _name, _pattern in DETECT.items():
 
     @query(_name, f"SELECT id FROM reviews WHERE regexp_matches(comment, '{_pattern}')")
     def _detect(spark, d, pattern=_pattern):
-        return table(spark, d, "reviews").where(C.rlike(pattern)).select("id")
+        return table(spark, d, "reviews").where(F.col("comment").rlike(pattern)).select("id")
 
 
 @query("cls_contradiction", "SELECT id FROM reviews WHERE rating >= 4 AND regexp_matches(comment, 'damp|bozuktu|greasy') AND NOT regexp_matches(comment, 'wonderful|harika')")
 def cls_contradiction(spark, d):
-    return table(spark, d, "reviews").where((F.col("rating") >= 4) & C.rlike("damp|bozuktu|greasy") & ~C.rlike("wonderful|harika")).select("id")
+    return table(spark, d, "reviews").where((F.col("rating") >= 4) & F.col("comment").rlike("damp|bozuktu|greasy") & ~F.col("comment").rlike("wonderful|harika")).select("id")
 
 
 LADDER = [("yangın|fire|gas", "emergency"), ("damp|rutubet|blocked|tıkalı", "health"), ("wifi|internet|lift|asansör", "technical"), ("towels|havlular|forgot|unuttu", "service")]
@@ -114,25 +113,25 @@ def ladder_sql(column="comment"):
 
 @query("cls_root_cause", f"SELECT {ladder_sql()} AS cause, count(*) AS n FROM entity_comments WHERE comment IS NOT NULL GROUP BY 1")
 def cls_root_cause(spark, d):
-    return table(spark, d, "entity_comments").where("comment IS NOT NULL").groupBy(ru.ladder(C, LADDER, "other").alias("cause")).agg(F.count("*").alias("n"))
+    return table(spark, d, "entity_comments").where("comment IS NOT NULL").groupBy(ru.ladder(F.col("comment"), LADDER, "other").alias("cause")).agg(F.count("*").alias("n"))
 
 
 @query("cls_sev_urgency", f"WITH s AS (SELECT {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL) SELECT CASE c WHEN 'emergency' THEN 'critical' WHEN 'health' THEN 'high' WHEN 'technical' THEN 'medium' ELSE 'low' END AS severity, CASE WHEN c IN ('emergency', 'health') THEN 'now' ELSE 'later' END AS urgency, count(*) AS n FROM s GROUP BY 1, 2")
 def cls_sev_urgency(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(C, LADDER, "other").alias("c"))
+    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(F.col("comment"), LADDER, "other").alias("c"))
     return s.groupBy(F.when(F.col("c") == "emergency", "critical").when(F.col("c") == "health", "high").when(F.col("c") == "technical", "medium").otherwise("low").alias("severity"), F.when(F.col("c").isin("emergency", "health"), "now").otherwise("later").alias("urgency")).agg(F.count("*").alias("n"))
 
 
 @query("cls_recommend", f"WITH s AS (SELECT department, {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL) SELECT department, c AS cause, CAST(CASE c WHEN 'emergency' THEN 1 WHEN 'health' THEN 4 WHEN 'technical' THEN 24 ELSE 72 END AS INT) AS sla_hours, count(*) AS n FROM s GROUP BY 1, 2, 3")
 def cls_recommend(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select("department", ru.ladder(C, LADDER, "other").alias("cause"))
+    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select("department", ru.ladder(F.col("comment"), LADDER, "other").alias("cause"))
     hours = F.when(F.col("cause") == "emergency", 1).when(F.col("cause") == "health", 4).when(F.col("cause") == "technical", 24).otherwise(72)
     return s.groupBy("department", "cause").agg(F.count("*").alias("n")).withColumn("sla_hours", hours)
 
 
 @query("cls_triggers", "SELECT id, concat_ws(',', CASE WHEN regexp_matches(comment, 'damp|rutubet') THEN 'inspect' END, CASE WHEN regexp_matches(comment, 'wifi|internet') THEN 'ticket' END) AS triggers FROM entity_comments WHERE regexp_matches(comment, 'damp|rutubet|wifi|internet')")
 def cls_triggers(spark, d):
-    t = F.array_compact(F.array(F.when(C.rlike("damp|rutubet"), "inspect"), F.when(C.rlike("wifi|internet"), "ticket")))
+    t = F.array_compact(F.array(F.when(F.col("comment").rlike("damp|rutubet"), "inspect"), F.when(F.col("comment").rlike("wifi|internet"), "ticket")))
     return table(spark, d, "entity_comments").select("id", F.array_join(t, ",").alias("triggers")).where("triggers <> ''")
 
 
@@ -162,20 +161,20 @@ def cls_span_multilingual(spark, d):
 
 @query("cls_hodip_facts", f"WITH s AS (SELECT id, department, {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL), t AS (SELECT unnest(['observation', 'impact', 'root_cause', 'action']) AS fact_type) SELECT fact_type, c AS cause, count(*) AS n FROM s, t WHERE c <> 'other' GROUP BY 1, 2")
 def cls_hodip_facts(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(C, LADDER, "other").alias("cause")).where("cause <> 'other'")
+    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(F.col("comment"), LADDER, "other").alias("cause")).where("cause <> 'other'")
     kinds = F.array(*map(F.lit, ("observation", "impact", "root_cause", "action")))
     return s.select("cause", F.explode(kinds).alias("fact_type")).groupBy("fact_type", "cause").agg(F.count("*").alias("n"))
 
 
 @query("q_detect_domain", f"WITH s AS (SELECT id, label, sum(weight) AS score FROM reviews JOIN {values(FRAMES)} ON contains(comment, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rn FROM s) SELECT id, CAST(rn AS INT) AS rank, label, score FROM r WHERE rn <= 3")
 def q_detect_domain(spark, d):
-    s = table(spark, d, "reviews").select("id", F.posexplode(F.slice(ru.scores(C, FRAMES), 1, 3)).alias("rank", "x"))
+    s = table(spark, d, "reviews").select("id", F.posexplode(F.slice(ru.scores(F.col("comment"), FRAMES), 1, 3)).alias("rank", "x"))
     return s.select("id", (F.col("rank") + 1).alias("rank"), "x.label", "x.score")
 
 
 @query("q_search_entity", "SELECT id, CASE WHEN regexp_matches(comment, '[0-9]{3,4} numaralı oda') THEN 'room ' || regexp_extract(comment, '([0-9]{3,4}) numaralı oda', 1) WHEN regexp_matches(comment, 'havuz|pool') THEN 'pool' END AS entity FROM entity_comments WHERE regexp_matches(comment, '[0-9]{3,4} numaralı oda|havuz|pool')")
 def q_search_entity(spark, d):
-    e = F.when(C.rlike("[0-9]{3,4} numaralı oda"), F.concat(F.lit("room "), F.regexp_extract(C, "([0-9]{3,4}) numaralı oda", 1))).when(C.rlike("havuz|pool"), "pool")
+    e = F.when(F.col("comment").rlike("[0-9]{3,4} numaralı oda"), F.concat(F.lit("room "), F.regexp_extract(F.col("comment"), "([0-9]{3,4}) numaralı oda", 1))).when(F.col("comment").rlike("havuz|pool"), "pool")
     return table(spark, d, "entity_comments").select("id", e.alias("entity")).where("entity IS NOT NULL")
 
 
@@ -266,7 +265,7 @@ def q_test_cascade_delete(spark, d):
 
 @query("rtr_agent", "SELECT CASE WHEN regexp_matches(comment, 'selamlar|thanks|Dank') THEN 'greeting' WHEN regexp_matches(comment, 'wifi|internet') THEN 'faq' WHEN regexp_matches(comment, 'numaralı oda|room [0-9]') THEN 'entity' WHEN length(comment) > 300 THEN 'rag' ELSE 'clarify' END AS route, count(*) AS n FROM reviews WHERE comment IS NOT NULL GROUP BY 1")
 def rtr_agent(spark, d):
-    r = F.when(C.rlike("selamlar|thanks|Dank"), "greeting").when(C.rlike("wifi|internet"), "faq").when(C.rlike("numaralı oda|room [0-9]"), "entity").when(F.length(C) > 300, "rag").otherwise("clarify")
+    r = F.when(F.col("comment").rlike("selamlar|thanks|Dank"), "greeting").when(F.col("comment").rlike("wifi|internet"), "faq").when(F.col("comment").rlike("numaralı oda|room [0-9]"), "entity").when(F.length(F.col("comment")) > 300, "rag").otherwise("clarify")
     return table(spark, d, "reviews").where("comment IS NOT NULL").groupBy(r.alias("route")).agg(F.count("*").alias("n"))
 
 

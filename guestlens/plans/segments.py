@@ -12,12 +12,11 @@ from guestlens.sources.domain import DOMAIN_SQL as D
 from guestlens.sources.tables import table
 
 ONLY = D.rstrip().rstrip(",")
-C = F.col("comment")
 SPLIT = r"[.!?]+\s+|, (?:but|ama|aber|mais|pero|но) | (?:although|oysa|obwohl|хотя) "
 
 
 def pieces(pattern):
-    return F.filter(F.split(C, pattern), lambda s: F.length(F.trim(s)) > 0)
+    return F.filter(F.split(F.col("comment"), pattern), lambda s: F.length(F.trim(s)) > 0)
 
 
 @query("seg_rule_split", f"SELECT id, CAST(len(list_filter(string_split_regex(comment, '{SPLIT}'), lambda s: length(trim(s, ' ')) > 0)) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
@@ -28,7 +27,7 @@ def seg_rule_split(spark, d):
 @query("seg_combined", "SELECT id, CAST(greatest(len(string_split_regex(comment, '[.!?]+\\s+')), len(string_split_regex(comment, ', '))) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
 def seg_combined(spark, d):
     # two segmentations, the finer one counts
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.greatest(F.size(F.split(C, r"[.!?]+\s+")), F.size(F.split(C, ", "))).alias("clauses"))
+    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.greatest(F.size(F.split(F.col("comment"), r"[.!?]+\s+")), F.size(F.split(F.col("comment"), ", "))).alias("clauses"))
 
 
 @query("seg_platform", "SELECT id, CAST(len(list_filter(string_split_regex(review_text, '[.!?;\\n]+'), lambda s: length(trim(s, ' ')) >= 8)) AS INT) AS clauses FROM platform_reviews WHERE review_text IS NOT NULL")
@@ -39,12 +38,12 @@ def seg_platform(spark, d):
 @query("seg_finalize", f"SELECT id, CAST(len(list_filter(string_split_regex(comment, '{SPLIT}'), lambda s: length(trim(s, ' ')) >= 12)) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
 def seg_finalize(spark, d):
     # fragments under a dozen characters don't stand alone
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.size(F.filter(F.split(C, SPLIT), lambda s: F.length(F.trim(s)) >= 12)).alias("clauses"))
+    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.size(F.filter(F.split(F.col("comment"), SPLIT), lambda s: F.length(F.trim(s)) >= 12)).alias("clauses"))
 
 
 @query("seg_ve_coordination", "SELECT id, CAST(len(string_split(comment, ' ve ')) - 1 AS INT) AS joins FROM entity_comments WHERE comment IS NOT NULL")
 def seg_ve_coordination(spark, d):
-    return table(spark, d, "entity_comments").where("comment IS NOT NULL").select("id", (F.size(F.split(C, " ve ")) - 1).alias("joins"))
+    return table(spark, d, "entity_comments").where("comment IS NOT NULL").select("id", (F.size(F.split(F.col("comment"), " ve ")) - 1).alias("joins"))
 
 
 @query("cls_aspect_resolve", ONLY + " SELECT CASE WHEN aspect = 'PROMO' AND priority = 3 THEN 'urgent promotion' WHEN aspect = 'PROMO' THEN 'promotion' WHEN department IN ('Brand#1', 'Brand#2') THEN 'house brand' ELSE lower(aspect) END AS label, count(*) AS n FROM cl GROUP BY 1")
@@ -76,7 +75,7 @@ def cls_clause_full(spark, d):
 
 @query("cls_category_service", "SELECT id, coalesce(CASE WHEN contains(comment, 'wifi') THEN 'tech' END, CASE WHEN rating <= 2 THEN 'complaint' END, 'general') AS category FROM reviews")
 def cls_category_service(spark, d):
-    return table(spark, d, "reviews").select("id", F.coalesce(F.when(F.contains(C, F.lit("wifi")), F.lit("tech")), F.when(F.col("rating") <= 2, F.lit("complaint")), F.lit("general")).alias("category"))
+    return table(spark, d, "reviews").select("id", F.coalesce(F.when(F.contains(F.col("comment"), F.lit("wifi")), F.lit("tech")), F.when(F.col("rating") <= 2, F.lit("complaint")), F.lit("general")).alias("category"))
 
 
 @query("ret_cold_embed", "SELECT p_partkey, CAST(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: unicode(substr(p_name, i, 1)))) AS BIGINT) AS code_sum FROM part")
@@ -90,7 +89,7 @@ FAQ = {"wifi": ("wifi", "internet", "dropped"), "pool": ("pool", "terrace", "cro
 
 @query("ret_faq_match", "WITH f AS (SELECT * FROM (VALUES ('wifi', ['wifi', 'internet', 'dropped']), ('pool', ['pool', 'terrace', 'crowded']), ('towels', ['towels', 'changed', 'days'])) t(faq, terms)), s AS (SELECT id, faq, len(list_filter(terms, lambda t: contains(comment, t))) / 3.0 AS score FROM reviews, f WHERE comment IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, faq) AS rn FROM s WHERE score >= 0.6) SELECT id, faq, round_even(score, 4) AS score FROM r WHERE rn = 1")
 def ret_faq_match(spark, d):
-    score = lambda terms: F.size(ru.hits(C, list(terms))) / F.lit(3.0)
+    score = lambda terms: F.size(ru.hits(F.col("comment"), list(terms))) / F.lit(3.0)
     each = F.array(*[F.struct((-score(t)).alias("neg"), F.lit(k).alias("faq")) for k, t in FAQ.items()])
     top = F.array_min(F.filter(each, lambda x: x["neg"] <= -0.6))
     return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", top["faq"].alias("faq"), F.bround(-top["neg"], 4).alias("score")).where("faq IS NOT NULL")

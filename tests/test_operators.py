@@ -173,3 +173,11 @@ def test_similarity_join_is_exact(spark):
             n = sum(1 for j in reps if j != c and len(shingles[c] & shingles[j]) / len(shingles[c] | shingles[j]) >= 0.8)
             assert got[i] == (c, n)
     assert len(got) == len(texts) - 2
+
+
+def test_queries_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
