@@ -140,6 +140,50 @@ def test_hot_group_of_near_copies_stays_small(spark):
     assert {x.row_id_a for x in out} == {0} and len(out) == 199
 
 
+def _expected(rows):
+    """Repeats by brute force: each row against all first rows before it."""
+    forms = dedup.canonical([t for _, _, t in rows])
+    firsts, out = [], {}
+    for (i, _, _), f in zip(rows, forms):
+        for j, g in firsts:
+            if f == g or dedup.is_repeat(g, f, g.count(" ") + 1, f.count(" ") + 1):
+                out[i] = j
+                break
+        else:
+            firsts.append((i, f))
+    return out
+
+
+def test_repeats_of_common_passages_in_one_batch(spark):
+    r = random.Random(4)
+    stock = [[" ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(9)) for _ in range(3)] for _ in range(10)]
+    codes = []  # which wording of each passage; two reviews differ in three passages at least
+    while len(codes) < 240:
+        c = [r.randrange(3) for _ in stock]
+        if all(sum(x != y for x, y in zip(c, d)) > 2 for d in codes):
+            codes.append(c)
+    rows = [(i, 1, " ".join(s[k] for s, k in zip(stock, c))) for i, c in enumerate(codes)]
+    for i in range(240, 300):
+        w = rows[r.randrange(240)][2].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((i, 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    got = {x.row_id_b: x.row_id_a for x in dedup.repeats(spark, df, [F.col("batch_no") == 1], filters=2).collect()}
+    assert got == _expected(rows) and len(got) >= 50
+
+
+def test_sketches_bound_the_verification(spark):
+    r = random.Random(6)
+    pairs = []
+    for a in _reviews(seed=2, n=40):
+        b = [("changed" if r.random() < 0.2 else w[:-1] + "�" if r.random() < 0.1 else w) for w in a.split()]
+        pairs.append((a, " ".join(b)))
+    rows = [(*(x for f in p for x in (f.count(" ") + 1, *dedup.sketches([f])[0])), dedup.is_repeat(p[0], p[1], *(f.count(" ") + 1 for f in p))) for p in pairs]
+    names = ["n_words", "lost", *(f"s{i}" for i in range(dedup.SKETCH))]
+    df = spark.createDataFrame(rows, [f"{x}_{y}" for y in "ab" for x in names] + ["ok"])
+    assert df.where("ok").count() > 5 and df.where(F.col("ok") & ~dedup.may_repeat()).count() == 0
+
+
 def test_bloom_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(-(2**62), 2**62, 5000)
     bits = np.zeros(10_000, np.uint8)
