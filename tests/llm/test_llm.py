@@ -172,6 +172,22 @@ def test_repeats_of_common_passages_in_one_batch(spark):
     assert got == _expected(rows) and len(got) >= 50
 
 
+@pytest.mark.parametrize("shortest, longest, recall", [(6, 20, 0.97), (30, 90, 1.0)])
+def test_one_word_in_five_changed(spark, shortest, longest, recall):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnoprstu", k=r.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, 0, " ".join(r.choices(words, k=r.randint(shortest, longest)))) for i in range(150)]
+    for i in range(150):
+        w = rows[i][2].split()
+        for j in range(r.randrange(2, 5), len(w), 5):
+            w[j] = r.choice(words)
+        rows.append((1000 + i, 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    out = dedup.repeats(spark, df, [F.col("batch_no") == b for b in range(2)], filters=2).where("step = 1").collect()
+    got, expected = {(x.row_id_b, x.row_id_a) for x in out}, set(_expected(rows).items())
+    assert got <= expected and len(got) >= recall * len(expected) and len(expected) > 100
+
+
 def test_sketches_bound_the_verification(spark):
     r = random.Random(6)
     pairs = []
