@@ -28,7 +28,7 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.json")
 # Cue words by what they announce.
 CUES = {
     "phone": "tel telefon phone call number whatsapp numara numarasından hattındayım üzerinden ara arayın rang erreichen anrufen handy mobil téléphone appelez rappelé teléfono llámame llamó móvil звоните номеру тел телефон cell mobile reach ring gsm cep",
-    "id": "passport pasaport kimlik tc ausweis pass passnummer personalausweis passeport documento dni nie паспорт инн ssn insurance sozialversicherung belgem belge kayıtta identity identität versicherung identité pasaporte national снилс id nino",
+    "id": "passport pasaport kimlik tc ausweis pass passnummer personalausweis ausweisnummer reisepass reisepassnummer pass-nr ausweis-nr passeport documento dni nie паспорт инн ssn insurance sozialversicherung belgem belge kayıtta identity identität versicherung identité pasaporte national снилс id nino",
     "code": "voucher booking reservation rezervasyon kodumuz kod code kodu buchung gutschein réservation reserva бронь ref reference fiş fişte fatura invoice bon réf factura bono ваучер order sipariş buchungsnummer room oda zimmer номере room table",
     "address": "adres adresim adresimiz adresine yer address anschrift adresse dirección адрес адресу live lives jacket jacke kapısına eşyamı valizi chaqueta куртку wohne habite vivo живу send post schicken envoyer",
     "person": "barmen bartender waiter waitress manager müdür resepsiyondaki özellikle temizleyen odamızı garson kellner kellnerin frau herr herrn mme m madame monsieur serveur serveuse señora señor sr sra camarero администратор официант сотруднице сотруднику mr mrs ms miss named chef receptionist director руководитель hanım bey",
@@ -47,6 +47,8 @@ MAIL = re.compile(
     r"|[\w.+\-]{2,64} at (?!www)[\w\-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[\w\-]+)*?(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?(?:com|net|org|co|example|test|invalid|de|tr|ru|fr|es|uk))+\b"
 )
 NUMBER = re.compile(rf"(?<![\w@.])(?:[A-Z]{{1,2}}[ -]?)?[+(]?[{DIGIT}](?:[{DIGIT}]|[ ().\-/]{{1,2}}(?=[({DIGIT}])|\)(?= ?[{DIGIT}]))*[{DIGIT}](?:[ -]?[A-Z])?(?!\w)")
+# letters and digits in any order, in up to four groups
+MIXED = re.compile(r"(?<![\w@.＠])(?:[A-Z0-9]{2,16}(?:[ -](?=[A-Z]*\d)[A-Z0-9]{1,9}){0,3}|[a-z0-9]{6,16})(?![\w@＠])")
 TR_CITY = r"(?:,? ?[A-ZÇĞİÖŞÜ][a-zçğıöşü]+)?"
 ADDRESSES = [
     re.compile(r"(?:[A-ZÇĞİÖŞÜ][\w]+ [Mm]ah(?:allesi|\.)?,? )?(?:[A-ZÇĞİÖŞÜ0-9][\w.]+ ){1,2}?(?:[Cc]ad(?:desi|\.)?|[Ss]ok(?:ak|ağı|\.)?|[Bb]ulvar[ıi]|[Cc]d\.|[Ss]k\.),? ?(?:[Nn]o ?[:.]? ?\d+\w?)(?:[ ,/]*(?:D|Daire|Kat|K)[:.]? ?\d+)*" + TR_CITY),
@@ -56,7 +58,9 @@ ADDRESSES = [
     re.compile(r"(?:[Cc]alle|[Cc]/|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino)(?: (?:de|del|la))* [\wÀ-ÿ]+(?: [A-ZÀ-Þ][\wÀ-ÿ]+)?,? (?:n\.?º ?)?\d+(?:[ ,]+\d+ ?\.?[ºª°]? ?[A-Z]?)?,? ?\d{5} [A-ZÀ-Þ][\wÀ-ÿ]+"),
     re.compile(r"\d+[A-Za-z]? [A-Z]\w+(?: [A-Z]\w+)? (?:Street|Road|Lane|Avenue|Close|Drive|Way|Court|Square|St|Rd|Ave)\b\.?(?:, ?(?:Flat|Apt|Apartment|Unit|Suite)\.? ?\w+)?(?:, ?[A-Z]\w+)?(?: [A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2})?"),
     re.compile(r"(?:г\. ?[А-ЯЁ]\w+, ?)?(?:ул\.?|улица|проспект|пр-т|пр\.|переулок|пер\.|бульвар) ?[А-ЯЁ]\w+,? ?(?:д\.? ?)?\d+(?:[-/]\d+)?(?:,? ?кв\.? ?\d+)?(?:, ?[А-ЯЁ]\w+)?"),
+    re.compile(r"(?:[A-ZÇĞİÖŞÜ][\w]+ [Mm]ah(?:allesi|\.)?,? )?(?:[A-ZÇĞİÖŞÜ0-9][\w.]+ ){1,2}?(?:[Cc]ad(?:desi|\.)?|[Ss]ok(?:ak|ağı|\.)?|[Bb]ulvar[ıi]|[Cc]d\.|[Ss]k\.),? ?\d+(?: ?[/\-] ?\d+)?[A-Za-z]?\b(?:[ ,/]*(?:D|Daire|Kat|K)[:.]? ?\d+)*" + TR_CITY),
 ]
+TURKISH = (0, 1, 7)  # the places of the patterns that may take in the word before a street's name
 WORD = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])+(?:['’\-][^\W\d_]+)*\.?")
 SPAN_LEFT, SPAN_RIGHT = 46, 34
 LIMIT = 6  # tokens of a name at most
@@ -132,6 +136,26 @@ def number_candidates(text: str) -> Iterator[Candidate]:
         yield a, b, "ID_NUMBER", tuple(f)
 
 
+def mixed_candidates(text: str) -> Iterator[Candidate]:
+    """Identifiers whose letters and digits alternate, which NUMBER doesn't take."""
+    for m in MIXED.finditer(text):
+        raw = m[0]
+        digits, letters = sum(c.isdigit() for c in raw), sum(c.isalpha() for c in raw)
+        if not (letters and digits >= 3 and 6 <= digits + letters <= 20) or NUMBER.fullmatch(text, *m.span()):
+            continue
+        a, b = m.span()
+        left, right = near(text, a, b)
+        f = ["mixed", f"m:n{digits + letters}", f"m:L{min(letters, 5)}", f"m:{'d' if raw[0].isdigit() else 'l'}{'d' if raw[-1].isdigit() else 'l'}"]
+        f += ["m:low"] * any(c.islower() for c in raw) + ["m:groups"] * (" " in raw or "-" in raw)
+        for k in ("phone", "id", "code", "address"):
+            f += [f"l:{k}", f"m:l:{k}"] * cue(left, k) + [f"r:{k}"] * cue(right, k)
+        # of several cues on the left the nearest counts most: others may belong to the sentence before
+        f += next(([f"m:near:{k}"] for w in reversed(left) for k in ("id", "code", "phone", "address") if w in CUES[k]), [])
+        if not any(x[:2] in ("l:", "r:") for x in f):
+            f += ["nocue", "m:nocue"]
+        yield a, b, "ID_NUMBER", tuple(f)
+
+
 def name_candidates(text: str, field: str, gaz: Gazetteer) -> Iterator[Candidate]:
     words = list(WORD.finditer(text))
     low = [fold(w[0]) for w in words]
@@ -184,6 +208,7 @@ def candidates(text: str, field: str, gaz: Gazetteer) -> list[Candidate]:
             out.append((a, b, "EMAIL", tuple(f)))
     if any(c.isdigit() for c in text):
         out += number_candidates(text)
+        out += mixed_candidates(text)
         for k, p in enumerate(ADDRESSES):
             for m in p.finditer(text):
                 a, b = m.span()
@@ -191,11 +216,11 @@ def candidates(text: str, field: str, gaz: Gazetteer) -> list[Candidate]:
                 starts = [a]
                 # a street pattern may take in the word before the name of the street
                 first = re.match(r"[^\W\d_]+ ", m[0])
-                if first and k in (0, 1):
+                if first and k in TURKISH:
                     starts.append(a + len(first[0]))
                 for s in starts:
                     l2, _ = near(text, s, b)
-                    f = [f"p{k}", f"parts{min(4, len(re.findall(r'\d+', text[s:b])))}"] + ["l:address"] * cue(left, "address") + ["r:address"] * cue(right, "address") + ["short"] * (s > a) + ["first:cue"] * (fold(text[s:b].split(" ")[0]) in CUES["address"] or text[s:b].split(" ")[0][:1].islower()) + ["after:cue"] * (bool(l2) and l2[-1] in CUES["address"])
+                    f = [f"p{k}", f"parts{min(4, len(re.findall(r'\d+', text[s:b])))}"] + ["l:address"] * cue(left, "address") + ["r:address"] * cue(right, "address") + ["short"] * (s > a) + ["no:mah"] * (k == 7 and " mah" not in text[s:b].lower()) + ["slash"] * (k == 7 and "/" in text[s:b]) + ["first:cue"] * (fold(text[s:b].split(" ")[0]) in CUES["address"] or text[s:b].split(" ")[0][:1].islower()) + ["after:cue"] * (bool(l2) and l2[-1] in CUES["address"])
                     out.append((s, b, "ADDRESS", tuple(f)))
     out += name_candidates(text, field, gaz)
     return out
@@ -285,7 +310,7 @@ def spans_of(text: str, field: str, model: Model) -> list[tuple[int, int, str]]:
     if field == "guest_name" and mojibake.worth_a_look([text])[0]:
         read = mojibake.repair(text)[0]
         letters = re.sub("�", "e", read)
-        words, read_words = [m.span() for m in re.finditer(r"\S+", text)], [m.span() for m in re.finditer(r"\S+", letters)]
+        words, read_words = [m.span() for m in re.finditer(r"[^ ]+", text)], [m.span() for m in re.finditer(r"[^ ]+", letters)]  # (damage may look like other white space)
         if len(words) == len(read_words):
             at = {a: words[k] for k, (a, b) in enumerate(read_words)}
             ends = {b: words[k] for k, (a, b) in enumerate(read_words)}

@@ -259,6 +259,24 @@ def test_crf_finds_spans_and_partition_is_consistent():
     assert pii.redacted("x Selin y", [(2, 7, "NAME")]) == "x [NAME] y"
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("Kaybolan eşyamı Nevojas mahallesi 573. sokak 147/1 Bornova adresine kargolayın.", "Nevojas mahallesi 573. sokak 147/1 Bornova", "ADDRESS"),
+        ("Ev adresimiz Kesve mahallesi 966. sokak 21/8 Bornova olduğu halde yanlış gitti.", "Kesve mahallesi 966. sokak 21/8 Bornova", "ADDRESS"),
+        ("Adresim: Melova Caddesi 12/4 Bornova", "Melova Caddesi 12/4 Bornova", "ADDRESS"),
+        ("Meine Ausweisnummer L0Z295547 lag offen auf dem Tresen.", "L0Z295547", "ID_NUMBER"),
+        ("Mon numéro de passeport L0X429176 était visible.", "L0X429176", "ID_NUMBER"),
+        ("Zimmer @ 117 Euro ist teuer. Pass-Nr. L0Z145861 wurde falsch notiert.", "L0Z145861", "ID_NUMBER"),
+        ("Our booking code was K7R42X.", None, None),
+        ("Otel Melova Caddesi 5 dakika uzakta.", None, None),
+    ],
+)
+def test_addresses_without_no_and_mixed_identifiers(text, value, kind):
+    m = pii.Model(pii.load_weights(), pii.Gazetteer(set(), set()))
+    assert [(text[a:b], k) for a, b, k in m.best(text, "comment")] == ([(value, kind)] if value else [])
+
+
 def test_crf_held_out_accuracy():
     from guestlens.llm.pii_train import composed
 
