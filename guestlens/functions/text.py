@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Turkish letters and their plain forms; abbreviations written out (longest first when applied).
 FOLD_FROM, FOLD_TO = "şığüöçŞİĞÜÖÇ", "siguocSIGUOC"
 ABBREVIATIONS = {"d / d": "d/d", "vb.": "ve benzeri", "approx.": "approximately", "bkz.": "bakınız"}
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space, inside a class
 
 
 def lower_tr(c: Column) -> Column:
@@ -27,6 +28,11 @@ def collapse_repeats(c: Column) -> Column:
     return F.regexp_replace(c, r"(.)\1{3,}", "$1$1")
 
 
+def collapse_vowels(c: Column) -> Column:
+    """Three and more of one vowel become one."""
+    return F.regexp_replace(c, r"([aeiouüöıâAEIOUÜÖİ])\1{2,}", "$1")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from guestlens.functions import text as tx
 from guestlens.operators import relational as rel
 from guestlens.registry import query
 from guestlens.sources import domain
@@ -391,6 +392,14 @@ def set_dedupe_hash(spark, d):
     return s.groupBy("hash").agg(F.min("row_id").alias("row_id"))
 
 
+@query("set_dedupe_hash_all")
+def set_dedupe_hash_all(spark, d):
+    """set_dedupe_hash over every comment; without SQL, as the engines fold the case of letters outside ASCII differently."""
+    k = F.lower(F.regexp_replace("comment", rf"^[{tx.SPACE}]+|[{tx.SPACE}]+\z", ""))
+    s = table(spark, d, "scraped_reviews").where("comment <> ''").select("row_id", F.substring(F.sha2(k, 256), 1, 16).alias("hash"))
+    return s.groupBy("hash").agg(F.min("row_id").alias("row_id"))
+
+
 @query("set_dedupe_prefix", "SELECT min(row_id) AS row_id FROM scraped_reviews WHERE trim(substr(comment, 1, 300)) <> '' GROUP BY trim(substr(comment, 1, 300))")
 def set_dedupe_prefix(spark, d):
     k = F.trim(F.substring("comment", 1, 300))

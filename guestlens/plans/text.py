@@ -29,6 +29,13 @@ def txt_collapse_repeat(spark, d):
     return table(spark, d, "documents").where(F.col("text").rlike("^[xz ]+$")).select("doc_id", F.length(tx.collapse_repeats(F.col("text"))).cast("bigint").alias("n"))
 
 
+@query("txt_collapse_repeat_all")
+def txt_collapse_repeat_all(spark, d):
+    """Of every document the text with runs of any character collapsed, and its length; without SQL, as that has no backreferences."""
+    text = tx.collapse_vowels(F.regexp_replace("text", r"([^\n])\1{3,}", "$1$1"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"), F.length(text).cast("bigint").alias("n"))
+
+
 @query("txt_fold", "SELECT id, translate(comment, 'şığüöçŞİĞÜÖÇ', 'siguocSIGUOC') AS folded FROM entity_comments")
 def txt_fold(spark, d):
     return table(spark, d, "entity_comments").select("id", tx.fold(F.col("comment")).alias("folded"))

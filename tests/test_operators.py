@@ -175,6 +175,27 @@ def test_similarity_join_is_exact(spark):
     assert len(got) == len(texts) - 2
 
 
+def test_dedupe_hash_and_collapse_over_all_scripts(spark, tmp_path):
+    import hashlib
+    import re
+
+    from guestlens.plans import relational, text
+
+    comments = ["Great stay", " great STAY\n", "Çok güzel, ŞİRİN otel", "çok güzel, ŞİRİN otel ", "\u00a0Отель хороший", "ОТЕЛЬ ХОРОШИЙ\u3000", "Straße", "STRASSE", "ΟΔΟΣ", "很好", "", None, "a\nb"]
+    spark.createDataFrame(list(enumerate(comments)), "row_id long, comment string").write.parquet(f"{tmp_path}/scraped_reviews.parquet")
+    expected = {}
+    for i, c in enumerate(comments):
+        if c:
+            expected.setdefault(hashlib.sha256(c.strip().lower().encode()).hexdigest()[:16], i)
+    assert {r.hash: r.row_id for r in relational.set_dedupe_hash_all(spark, str(tmp_path)).collect()} == expected
+
+    texts = ["çoook güzeeeel!!!!!", "xxxxx zzzz", "Ураааааа", "a\n\n\n\n\nb", "ıııı üüü", "plain", "😀😀😀😀😀", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    collapsed = [t if t is None else re.sub(r"([aeiouüöıâAEIOUÜÖİ])\1{2,}", r"\1", re.sub(r"(.)\1{3,}", r"\1\1", t)) for t in texts]
+    got = {r.doc_id: (r.text, r.n) for r in text.txt_collapse_repeat_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (t, t if t is None else len(t)) for i, t in enumerate(collapsed)}
+
+
 def test_queries_can_be_listed_without_a_session():
     import subprocess
     import sys
