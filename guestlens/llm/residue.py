@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and scripts-required notices instead of content.
 
 Character 4-gram models are fitted for filler, error notices, script notices, page furniture and placeholders (on phrases
-written here and what they lead to in a bounded sample of the corpus) and for natural prose (on the sample). Over every
+written here and what they lead to in a bounded sample of the corpus) and for natural prose (4-grams of all documents). Over every
 whole text the log likelihood ratio of each model against prose is averaged in windows; characters in windows that favour
 a residue model are residue. A document goes when residue covers most of it, furniture aside. Placeholders are localised
 by their own windows; an exact pattern then decides inside them.
@@ -10,7 +10,7 @@ by their own windows; an exact pattern then decides inside them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from guestlens.llm.language import tables
 
-SAMPLE_ROWS = 4000  # documents the models are fitted on, at most
+SAMPLE_ROWS = 4000  # documents that more examples of the residue kinds are taken from, at most
 BITS = 18
 GRAM = 4
 WINDOW, MARK_WINDOW = 24, 10  # characters of a window, and of one for placeholders
@@ -36,7 +36,7 @@ TODO: write the description here later before launch|TBD: insert the text here|a
 Buraya metin gelecek. Lütfen düzenleyiniz.|Buraya açıklama yazısı eklenecek.|Bu alana tanıtım yazısı eklenecek.|Örnek metin. Daha sonra doldurulacak.
 Hier steht später ein Text. Bitte ersetzen.|Platzhaltertext, bitte ersetzen.|Blindtext|Hier kommt der Text hin.|Beispieltext
 Texte à venir ici. À remplir plus tard.|Texte provisoire à remplacer.|Texto de ejemplo. Escriba aquí su texto.|Texto provisional, pendiente de completar.|Aquí irá el texto
-Здесь будет текст. Текст для примера.|Заполните это поле позже.|Testo di esempio da sostituire|Hier komt de tekst""".split("\n")
+Здесь будет текст. Текст для примера.|Описание появится здесь.|Hier erscheint die Beschreibung.|Paste your copy here.|Second paragraph goes here.|Заполните это поле позже.|Testo di esempio da sostituire|Hier komt de tekst""".split("\n")
 ERROR = """Error 404: page not found|Error 500: internal server error|503 Service Unavailable|502 Bad Gateway|504 Gateway Time-out|403 Forbidden|404 Not Found|No such page|Internal error
 Oops! Something went wrong. Reference: 12345|We could not complete your request. Reference 123|An unexpected condition was met.|The requested page does not exist.|The page you are looking for was moved or deleted.|the service is busy, please come back later|down for maintenance, try again in a few minutes
 Access denied. You do not have permission to view this page. Ray 123|You are not allowed to open this page.|Unusual traffic detected. Please solve the puzzle to go on.|Please slow down and confirm that you are not a robot.|Too many requests
@@ -131,29 +131,70 @@ class Models:
         return out
 
 
-def fit(sample: list[str]) -> Models:
-    """Models from the phrases above and a bounded sample of documents (mostly sound ones)."""
+def sound(texts: list[str], models: Models | None) -> list[str]:
+    """The texts that count as natural prose: the longer ones, once there are models those with little residue."""
+    if models is None:
+        return [t for t in texts if len(t) > 250]
+    return [t for t, (share, _, _) in zip(texts, models.spans(texts)) if share < 0.3 and len(t) > 120] if texts else []
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of bounded size."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < 300_000):
+            size += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def prose_counts(docs: DataFrame, models: Models | None, text: str = "text") -> np.ndarray:
+    """4-gram counts of natural prose over all documents: at most 2 ** BITS rows a partition, and as many in all."""
+    ratios = models.ratios if models else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = None if ratios is None else Models(ratios)
+        total = np.zeros(1 << BITS)
+        for pdf in batches:
+            texts = pdf[text].tolist()
+            for i, j in slices(texts):
+                total += counted(sound(texts[i:j], m))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bin": at, "n": total[at].astype(np.int64)})
+
+    rows = docs.select(text).where(F.length(text) > 0).mapInPandas(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BITS)
+    out[rows["bin"].to_numpy(int)] = rows["n"].to_numpy(float)
+    return out
+
+
+def fit(sample: list[str], prose: Callable[[Models | None], np.ndarray] | None = None) -> Models:
+    """Models from the phrases above, what they lead to in a bounded sample, and the prose counts (the sample's own by default)."""
+    prose = prose or (lambda models: counted(sound(sample, models)))
     join = lambda lines: [x for line in lines for x in line.split("|")]
     marks = [m.replace("@", f, 1).replace("@", "") if m != "@@@@" else f"@@{f}@@" for m in MARKS for f in FIELDS]
     marks = [f"{a} {m}{b}" for m in marks for a, b in ((" ", " "), ("x", ","), ("", "."))]
     seeds = {"filler": join(FILLER) * 3, "error": join(ERROR) * 3, "script": join(SCRIPT) * 3, "furniture": [x for line in FURNITURE for x in re.split(r"\|(?=\S)", line)] * 3, "mark": marks}
     seeds["error"] += [x.upper() for x in seeds["error"]]
-    natural = [t for t in sample if len(t) > 250]
     models = None
     for _ in range(3):
-        base = counted(natural) + 0.2
+        natural = prose(models)
+        base = natural + 0.2
         base /= base.sum()
         ratios = []
         for c in CLASSES:
-            r = counted(seeds[c]) + 0.2 * base * (1 << BITS) / 10 + 0.02
+            own = counted(seeds[c])
+            r = own + 0.2 * base * (1 << BITS) / 10 + 0.02
             r /= r.sum()
-            ratios.append(np.clip(np.log(r / base), -3, 3))
+            # a 4-gram that neither prose nor the kind has says nothing
+            ratios.append(np.where((natural == 0) & (own == 0), 0, np.clip(np.log(r / base), -3, 3)))
         models = Models(np.array(ratios, np.float32))
-        # what the models take for residue whole joins its kind, and leaves the prose
-        found = models.spans(sample)
-        natural = [t for t, (share, _, _) in zip(sample, found) if share < 0.3 and len(t) > 120]
+        # what the models take for residue whole joins its kind
+        found = models.spans(sample) if sample else []
         for c in ("filler", "error", "script"):
-            seeds[c] = seeds[c][: len(seeds[c])] + [t for t, (share, kind, _) in zip(sample, found) if share > 0.75 and kind == c and len(t) < 1500]
+            seeds[c] = seeds[c][: len(seeds[c])] + [t for t, (share, kind, _) in zip(sample, found) if share > COVERAGE and kind == c and len(t) < 1500]
     return models
 
 
@@ -165,20 +206,15 @@ def classify(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Models(ratios)
         for pdf in batches:
-            i = 0
             texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-            while i < len(texts):  # slices of bounded size
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 300_000):
-                    size += len(texts[j])
-                    j += 1
+            for i, j in slices(texts):
                 found = m.spans(texts[i:j])
                 yield pd.DataFrame({key: pdf[key].iloc[i:j].to_numpy(), "residue_share": [f[0] for f in found], "residue_kind": [f[1] for f in found], "placeholder": [f[2] for f in found]})
-                i = j
 
     out = docs.select(key, text).mapInPandas(run, schema)
     return out.withColumn("excluded", (F.col("residue_share") >= COVERAGE) | F.col("placeholder").isNotNull())
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Models:
-    return fit([r[0] for r in docs.select(text).where(F.length(text) > 0).limit(SAMPLE_ROWS).collect()])
+    sample = [r[0] for r in docs.select(text).where(F.length(text) > 0).limit(SAMPLE_ROWS).collect()]
+    return fit(sample, lambda models: prose_counts(docs, models, text))

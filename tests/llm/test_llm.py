@@ -340,5 +340,23 @@ def test_residue_and_traps():
     assert gone == [True, True, True, True, False, False, False, False]
 
 
+def test_prose_beyond_the_sample_is_known(spark, monkeypatch):
+    monkeypatch.setattr(residue, "SAMPLE_ROWS", 60)
+    english = "The room was clean and the staff were friendly, we would come again next summer with the family. " * 4
+    finnish = "Huone oli siisti ja henkilökunta ystävällistä, tulemme mielellämme uudestaan ensi kesänä koko perheen kanssa. " * 4
+    texts = [english] * 80 + [finnish] * 40 + ["lorem ipsum dolor sit amet consectetur"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    m = residue.fitted(df)
+    direct = residue.counted([t for t in texts if len(t) > 250])
+    assert (residue.prose_counts(df, None) == direct).all()
+    bins = np.unique(residue.grams(residue.symbols([finnish])[0]))
+    bins = bins[direct[bins] > 0]
+    assert (m.ratios[residue.CLASSES.index("furniture")][bins] < 0).mean() > 0.9  # seen as prose, though not in the sample
+    unseen = np.flatnonzero((direct == 0) & (residue.counted([x for k in ("FILLER", "ERROR", "SCRIPT") for x in getattr(residue, k)]) == 0))
+    assert np.median(np.abs(m.ratios[:4, unseen])) == 0
+    out = {r.doc_id: r.excluded for r in residue.classify(df, m).collect()}
+    assert out[120] and not out[0] and not out[100]
+
+
 def test_tokens_of_long_text():
     assert tokens.count("a b " * 30_000) >= 60_000 and tokens.count("") == 0
