@@ -3,8 +3,8 @@
 Candidate segments (bounded in length, one kind each) are scored as wholes: shape, check digits, cue words on either side,
 gazetteers, what the span covers. The best set of segments that don't overlap is found by dynamic programming over
 candidate ends, boundaries and kinds together; everything between has score 0. Weights are fitted by maximum conditional
-likelihood (forward and backward sums over the same lattice) on sentences composed in pii_train; given names come from a
-bounded sample of guest names.
+likelihood (forward and backward sums over the same lattice) on sentences composed in pii_train; given names come from all
+guest names.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 20_000  # guest names the gazetteer is read from, at most
-MIN_NAME_ROWS = 3
+MAX_NAMES = 1_000_000  # different names that are broadcast, at most
+MIN_NAME_ROWS = 1  # rows that make a word a given name
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.json")
 
@@ -95,16 +96,23 @@ class Gazetteer:
     def __init__(self, given: set[str], family: set[str]) -> None:
         self.given, self.family = given, family
 
+    @staticmethod
+    def parts(name: str | None) -> tuple[str, str] | None:
+        """Folded given and family name of a guest name of two words and no sign of damage."""
+        parts = WORD.findall(name) if name else []
+        if len(parts) != 2 or not all(c.isalpha() or c in " ,.'’-" or "\u0300" <= c <= "\u036f" for c in name) or any(fold(p) in CUES["placeholder"] for p in parts):
+            return None
+        a, b = (parts[1], parts[0]) if "," in name else (parts[0], parts[1])
+        return fold(a), fold(b)
+
+    @staticmethod
+    def of_counts(first: dict[str, int], last: dict[str, int]) -> Gazetteer:
+        return Gazetteer({w for w, n in first.items() if n >= MIN_NAME_ROWS and len(w) > 1}, {w for w in last if len(w) > 2})
+
     @staticmethod
     def read(names: list[str]) -> Gazetteer:
-        first, last = {}, {}
-        for n in names:
-            parts = WORD.findall(n) if n else []
-            if len(parts) == 2 and re.fullmatch(r"[^\d@_]+", n) and not any(fold(p) in CUES["placeholder"] for p in parts):
-                a, b = (parts[1], parts[0]) if "," in n else (parts[0], parts[1])
-                first[fold(a)] = first.get(fold(a), 0) + 1
-                last[fold(b)] = last.get(fold(b), 0) + 1
-        return Gazetteer({w for w, n in first.items() if n >= MIN_NAME_ROWS and len(w) > 1}, {w for w, n in last.items() if len(w) > 2})
+        found = [p for n in names if (p := Gazetteer.parts(n))]
+        return Gazetteer.of_counts(Counter(a for a, _ in found), Counter(b for _, b in found))
 
 
 Candidate = tuple[int, int, str, tuple[str, ...]]
@@ -327,7 +335,20 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def gazetteer(reviews: DataFrame, column: str = "guest_name") -> Gazetteer:
-    return Gazetteer.read([r[0] for r in reviews.select(column).where(F.length(column) > 2).limit(SAMPLE_ROWS).collect()])
+    """Given and family names counted over all rows. What is collected is at most MAX_NAMES names, or the job fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(n, *p) for v, n in zip(pdf["v"], pdf["n"]) if (p := Gazetteer.parts(v))]
+            yield pd.DataFrame([(w, k, n) for n, *p in found for k, w in enumerate(p)], columns=["word", "kind", "n"]).astype({"kind": "int32", "n": "int64"})
+
+    values = reviews.select(F.col(column).alias("v")).where(F.length(column) > 2).groupBy("v").agg(F.count("*").alias("n"))
+    names = values.mapInPandas(run, "word string, kind int, n bigint").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    names = names.where(((F.col("kind") == 0) & (F.col("n") >= MIN_NAME_ROWS) & (F.length("word") > 1)) | ((F.col("kind") == 1) & (F.length("word") > 2)))
+    rows = names.limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} different names: too many to broadcast")
+    return Gazetteer.of_counts({r.word: r.n for r in rows if r.kind == 0}, {r.word: r.n for r in rows if r.kind == 1})
 
 
 def annotate(values: DataFrame, gaz: Gazetteer) -> DataFrame:

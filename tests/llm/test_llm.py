@@ -289,6 +289,15 @@ def test_crf_held_out_accuracy():
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
 
 
+def test_gazetteer_counts_all_rows(spark):
+    names = ["Selin Karadereli"] * 20_500 + ["Zuhal Ender", "Quentin, Oya", "Google User", "x_1 y", None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "guest_name string").coalesce(1)
+    gaz = pii.gazetteer(df)
+    assert gaz.given == {"selin", "zuhal", "oya"} and gaz.family == {"karadereli", "ender", "quentin"}
+    m = pii.Model(pii.load_weights(), gaz)
+    assert [k for _, _, k in m.best("Zuhal Ender helped us with the bags.", "comment")] == ["NAME"]
+
+
 def test_annotate_nulls_and_empty(spark):
     df = spark.createDataFrame([("comment", None), ("comment", ""), ("guest_name", "Selin K.")], "field_name string, value string")
     out = pii.annotate(df, pii.Gazetteer({"selin"}, set())).collect()
