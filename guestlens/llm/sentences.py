@@ -24,9 +24,9 @@ NEEDS_NUMBER = {"no", "nr", "núm"}
 ORDINAL_CUES = set("im am der die das dem den vom zum beim ab bis seit".split())
 OPENERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", '"': '"', "（": "）", "【": "】"}
 EVENT = re.compile(r"\n|[.!?…。！？।؟]+|[“„«「『(\[\"（【”»」』)\]）】]")
+MARK = re.compile("[\n" + re.escape("".join(OPENERS) + "".join(OPENERS.values())) + "]")
 CLOSERS = "”“»」』\")]）】’"
 THAI = re.compile(r"[ก-๛]")
-LOOKAHEAD = 240  # a quotation or bracket must close within this many characters of its line
 
 
 class Trie:
@@ -114,9 +114,35 @@ def stop_ends(text: str, a: int, b: int, line: int) -> bool:
     return True
 
 
+def closed_openers(text: str) -> set[int]:
+    """Places of the quotation marks and brackets that have a closer of their own on their line, in one linear pass."""
+    out: set[int] = set()
+    stack: list[tuple[int, str]] = []
+    waiting: dict[str, int] = {}  # open marks that a closer would close
+    for m in MARK.finditer(text):
+        c = m[0]
+        if c == "\n":
+            stack.clear()
+            waiting.clear()
+        elif waiting.get(c):
+            while True:  # marks opened since, which nothing closed, are dropped
+                at, closers = stack.pop()
+                for x in closers:
+                    waiting[x] -= 1
+                if c in closers:
+                    break
+            out.add(at)
+        elif c in OPENERS:
+            stack.append((m.start(), OPENERS[c]))
+            for x in OPENERS[c]:
+                waiting[x] = waiting.get(x, 0) + 1
+    return out
+
+
 def boundaries(text: str) -> list[int]:
     """0-based offsets of the sentences' first characters. White space alone has none."""
     cuts, stack, line, n = [0], [], 0, len(text)
+    closed = closed_openers(text)
     pos = 0
     while m := EVENT.search(text, pos):
         a, b = m.span()
@@ -136,9 +162,7 @@ def boundaries(text: str) -> list[int]:
                     cuts.append(b)
             continue
         if mark in OPENERS:
-            end = text.find("\n", b)
-            window = text[b : min(end if end >= 0 else n, b + LOOKAHEAD)]
-            if any(c in window for c in OPENERS[mark]):
+            if a in closed:
                 stack.append((OPENERS[mark], False))
             continue
         if mark in ".!?…。！？।؟":

@@ -60,6 +60,13 @@ def test_sentence_counts(text, parts):
     assert all(not text[p].isspace() for p in starts)
 
 
+def test_long_speech_stays_in_its_sentence():
+    speech = "We are sorry. The pool is closed for repairs. Please use the other one. " * 8
+    assert len(speech) > 500
+    assert sentences.sentence_starts(f"The manager said “{speech.strip()}” and left. Good.") == [0, len(speech) + 29]
+    assert len(sentences.sentence_starts(f"He said “{speech}\nclosed only here”. Good.")) > 20  # not closed on its line
+
+
 def test_sentences_cover_the_text(spark):
     df = spark.createDataFrame([("a", "One. Two! Three?"), ("b", None), ("c", "")], "id string, review_text string")
     out = sentences.split_sentences(df, "id", "review_text").orderBy("sentence_no").collect()
