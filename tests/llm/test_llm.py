@@ -149,7 +149,7 @@ def test_hot_group_of_near_copies_stays_small(spark):
 
 def _expected(rows):
     """Repeats by brute force: each row against all first rows before it."""
-    forms = dedup.canonical([t for _, _, t in rows])
+    forms = dedup.Words([t for _, _, t in rows]).forms
     firsts, out = [], {}
     for (i, _, _), f in zip(rows, forms):
         for j, g in firsts:
@@ -201,12 +201,62 @@ def test_sketches_bound_the_verification(spark):
     for a in _reviews(seed=2, n=40):
         b = [("changed" if r.random() < 0.2 else w[:-1] + "�" if r.random() < 0.1 else w) for w in a.split()]
         pairs.append((a, " ".join(b)))
-    rows = [(*(x for f in p for x in (f.count(" ") + 1, *dedup.sketches([f])[0])), dedup.is_repeat(p[0], p[1], *(f.count(" ") + 1 for f in p))) for p in pairs]
+    rows = [(*(x for f in p for x in (f.count(" ") + 1, *dedup.Words([f]).sketches()[0].tolist())), dedup.is_repeat(p[0], p[1], *(f.count(" ") + 1 for f in p))) for p in pairs]
     names = ["n_words", "lost", *(f"s{i}" for i in range(dedup.SKETCH))]
     df = spark.createDataFrame(rows, [f"{x}_{y}" for y in "ab" for x in names] + ["ok"])
     assert df.where("ok").count() > 5 and df.where(F.col("ok") & ~dedup.may_repeat()).count() == 0
 
 
+def test_canonical_forms():
+    texts = ["  Ça <b>VA</b>\n&amp; \u00adbien\u200b! Straße İyi ılık ", "", "早餐好 ok", "x\ufffdy z", "a\u0308 B2"]
+    assert dedup.Words(texts).forms == ["ca va bien strasse iyi ilik", "", "早 餐 好 ok", "x\ufffdy z", "a b2"]
+    assert dedup.Words([]).forms == [] and dedup.Words(["", "!"]).counts.tolist() == [0, 0]
+
+
+def test_two_crowds_sharing_a_stock_text_in_one_batch(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstu", k=r.randint(3, 9)))
+    stock = [word() for _ in range(55)]
+    rows = []
+    for g in range(2):
+        own = [word() for _ in range(45)]
+        for i in range(25):
+            w = own + stock
+            if i:
+                w[r.randrange(len(w))] = word()
+            rows.append((100 * g + i, 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    got = {(x.row_id_a, x.row_id_b) for x in dedup.repeats(spark, df, [F.col("batch_no") == 1], filters=2).collect()}
+    assert got == {(100 * g, 100 * g + i) for g in range(2) for i in range(1, 25)}
+
+
+def test_longer_repeat_of_a_short_review_and_a_chain(spark):
+    first = "garden breakfast quiet pool terrace lovely waiters"
+    rows = [(1, 0, first), (2, 1, first + " always came back smiling")]
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    out = dedup.repeats(spark, df, [F.col("batch_no") == b for b in range(2)], filters=2).collect()
+    assert [(x.row_id_a, x.row_id_b) for x in out] == [(1, 2)]
+
+
+def test_store_is_opened_again_and_takes_no_rows(spark, tmp_path):
+    rows = [(i, i % 3, t) for i, t in enumerate(_reviews(n=30))] + [(100 + i, 2, t + "!") for i, t in enumerate(_reviews(n=30)[:6])]
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    path = f"file://{tmp_path}/store"
+    dedup.Store(spark, path, 4).accept(df.where("batch_no < 2"), "row_id", "comment")
+    assert dedup.Store(spark, path).accept(df.limit(0), "row_id", "comment").count() == 0
+    again = dedup.Store(spark, path)
+    assert (again.steps, again.filters) == (2, 4)
+    assert {(x.row_id_a, x.row_id_b) for x in again.accept(df.where("batch_no = 2"), "row_id", "comment").collect()} == {(i, 100 + i) for i in range(6)}
+    assert dedup.repeats(spark, df.limit(0), [F.lit(True)]).count() == 0
+
+
+def test_crowded_rows_are_compared_with_first_rows(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CROWD", 10)
+    test_hot_group_of_near_copies_stays_small(spark)
+    test_repeats_of_common_passages_in_one_batch(spark)
+    test_two_crowds_sharing_a_stock_text_in_one_batch(spark)
+
+
 def test_bloom_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(-(2**62), 2**62, 5000)
     bits = np.zeros(10_000, np.uint8)
