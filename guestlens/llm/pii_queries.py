@@ -21,4 +21,6 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_redacted(spark, d).select("table_name", "record_key", F.explode("spans").alias("s")).select("table_name", "record_key", F.col("s.pii_kind").alias("pii_kind"), F.col("s.start_pos").alias("start_pos"))
+    """One row for each piece of personal data, with its kind and first character."""
+    found = p4_redacted(spark, d).select("table_name", "record_key", "field_name", F.explode("spans").alias("s"))
+    return found.select("table_name", "record_key", "field_name", F.col("s.pii_kind").alias("pii_kind"), F.col("s.start_pos").alias("start_pos"))
