@@ -22,7 +22,7 @@ MAX_ITERATIONS, TOLERANCE = 30, 0.003
 INNER_STEPS = 6  # gradient steps on an item's difficulty
 PRIOR_ALPHA, PRIOR_BETA = (2.0, 1.0), (0.0, 0.5)  # mean and deviation of alpha and of log beta
 MIN_USERS = 3
-MAX_USERS = 1_000_000  # the abilities are one number per user: the bound of what the tasks are sent
+MAX_USERS = 1_000_000  # the abilities are one number per user: what the tasks are sent, at most; more fail the job
 
 # The label sets.
 LABELS = {
@@ -94,7 +94,10 @@ def solve(users: list[np.ndarray], labels: list[np.ndarray], alpha: np.ndarray,
 def fit(spark: SparkSession, items: DataFrame) -> tuple[dict[str, list[str]], dict[str, np.ndarray], int]:
     """Users and abilities per field by expectation-maximisation; items should be written or checkpointed."""
     names: dict[str, list[str]] = {f: [] for f in LABELS}
-    for r in items.select("field_name", F.explode("users").alias("u")).distinct().limit(MAX_USERS).collect():
+    rows = items.select("field_name", F.explode("users").alias("u")).distinct().limit(MAX_USERS + 1).collect()
+    if len(rows) > MAX_USERS:
+        raise ValueError(f"more than {MAX_USERS} annotators: too many to broadcast")
+    for r in rows:
         names[r.field_name].append(r.u)
     names = {f: sorted(v) for f, v in names.items()}
     alpha = {f: np.full(len(v), PRIOR_ALPHA[0]) for f, v in names.items()}
@@ -171,8 +174,8 @@ def krippendorff(items: DataFrame) -> DataFrame:
 
 
 def prepared(corrections: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
-    """The items as a checkpointed table. Given assignments, only labels of users assigned to the review count."""
+    """The items as a checkpointed table. Given assignments, only labels of users who have any count."""
     labels = latest_labels(corrections)
     if assignments is not None:
-        labels = labels.join(assignments.select("review_id", "user_id").distinct(), ["review_id", "user_id"], "left_semi")
+        labels = labels.join(assignments.select("user_id").distinct(), "user_id", "left_semi")
     return cut_lineage(items_of(labels))

@@ -10,7 +10,7 @@ from guestlens.sources.tables import table
 
 
 def _fitted(spark: SparkSession, d: str):
-    items = consensus.prepared(table(spark, d, "absa_corrections"))
+    items = consensus.prepared(table(spark, d, "absa_corrections"), table(spark, d, "review_assignments"))
     names, alpha, _ = consensus.fit(spark, items)
     return items, names, alpha
 

@@ -56,7 +56,8 @@ SEEDS = {
 
 LATIN, CYRILLIC, ARABIC, HAN, KANA, THAI, DEVANAGARI, OTHER = 1, 2, 3, 4, 5, 6, 7, 8
 PLAIN_LETTER = re.compile(r"[A-Za-z]")
-QUOTED = re.compile(r"[“„«\"「『][^“”„«»\"「」『』\n]{1,60}[”“»\"」』]")
+QUOTED = re.compile(r"[“„«\"「『][^“”„«»\"「」『』\n]+[”“»\"」』]")
+QUOTED_SHARE = 0.25  # of the text: a quotation beyond it counts like any other part
 ADDRESS = re.compile(r"\S*(?:@|＠|www\.|://)\S*")
 TERMINATOR = re.compile(r"[.!?…。！？।؟]+[\"”»“)\]]*(?=\s|$)|[。！？।]+|\n")
 SKIP = re.compile(r"[\s/|•·–—*\-​]+")
@@ -319,6 +320,8 @@ def stretches(texts: list[str], profiles: Profiles) -> list[list[tuple[int, str,
             if any(q in text for q in marks):
                 lo, hi = np.searchsorted(t.doc, [d, d + 1])
                 for m in pattern.finditer(text):
+                    if pattern is QUOTED and len(m[0]) > max(60, QUOTED_SHARE * len(text)):
+                        continue
                     a, b = t.offset[d] + m.start(), t.offset[d] + m.end()
                     i, j = np.searchsorted(t.begin[lo:hi], [a, b])
                     quiet[lo + i : lo + j] = True
@@ -368,8 +371,8 @@ def canonical_label(label: Column) -> Column:
 
 
 def training_rows(df: DataFrame, text: str, label: str) -> tuple[list[str], list[str]]:
-    """At most SAMPLE_ROWS labelled rows of a table: the fit's documented bound."""
-    rows = df.select(F.col(text).alias("t"), canonical_label(F.col(label)).alias("l")).where("l IS NOT NULL AND length(t) > 30").limit(SAMPLE_ROWS).collect()
+    """At most SAMPLE_ROWS labelled rows of a table, those of the least hashes: the fit's documented bound."""
+    rows = df.select(F.col(text).alias("t"), canonical_label(F.col(label)).alias("l")).where("l IS NOT NULL AND length(t) > 30").orderBy(F.xxhash64("t"), "t").limit(SAMPLE_ROWS).collect()
     return [r.t for r in rows], [r.l for r in rows]
 
 

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LAYERS = 4
-TRIAL_CHUNKS = 2
+TRIAL_CHUNKS = 2  # chunks an encoding is tried on at once
 # Single-byte encodings tried as the wrong decoding, and as the intended one.
 WRONG = ("cp1252", "latin-1", "cp1254", "mac_roman", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "cp857", "mac_cyrillic", "iso8859-5", "cp1250", "cp1256")
 # Fixed values: (wrong, intended) pairs of single-byte encodings that are confused in practice.
@@ -226,8 +225,22 @@ def undo_layer(text: str) -> tuple[str, str | None]:
     dirty = [i for i, c in enumerate(costs) if c > 0]
     if not dirty:
         return text, None
-    # the encodings are chosen on the worst chunks and then applied to every chunk
-    worst = sorted(dirty, key=lambda i: -costs[i])[:TRIAL_CHUNKS]
+    # the encodings are chosen on the worst chunks and then applied to every chunk; where none helps, on the next worst
+    by_cost = sorted(dirty, key=lambda i: -costs[i])
+    for k in range(0, len(by_cost), TRIAL_CHUNKS):
+        if best := chosen_encodings(chunks, costs, by_cost[k : k + TRIAL_CHUNKS]):
+            break
+    else:
+        return text, None
+    for i in dirty:
+        new = undo_utf8(chunks[i], best[0]) if best[1] == "utf-8" else undo_single(chunks[i], *best)
+        if new is not None and garbling_cost(new) < costs[i]:
+            chunks[i] = new
+    return "".join(chunks), ">".join(best)
+
+
+def chosen_encodings(chunks: list[str], costs: list[float], worst: list[int]) -> tuple[str, str] | None:
+    """The pair of encodings (wrong, intended) whose round trip lowers the cost of some chunks most, if any does."""
     before = sum(costs[i] for i in worst)
     best_cost, best = before - 0.6, None
     for wrong in WRONG:
@@ -248,13 +261,7 @@ def undo_layer(text: str) -> tuple[str, str | None]:
                 break
         if multi and multi_cost <= 0.75 * before and not (best and best_cost <= max(0.8, 0.05 * before)):
             best = multi
-    if not best:
-        return text, None
-    for i in dirty:
-        new = undo_utf8(chunks[i], best[0]) if best[1] == "utf-8" else undo_single(chunks[i], *best)
-        if new is not None and garbling_cost(new) < costs[i]:
-            chunks[i] = new
-    return "".join(chunks), ">".join(best)
+    return best
 
 
 #: What no clean value holds, whether a round trip removes it or not.
@@ -266,9 +273,10 @@ def repair(text: str | None) -> tuple[str | None, bool, str | None]:
     if "\ufffd" in text and not garbling_cost(text.replace("\ufffd", "")):
         return text, True, None
     layers, now = [], text
-    for _ in range(MAX_LAYERS):
+    while True:  # every layer lowers the cost, so this ends
+        before = now
         now, how = undo_layer(now)
-        if how is None:
+        if how is None or now == before:
             break
         layers.append(how)
     if layers:

@@ -8,13 +8,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANKS = os.environ.get("GUESTLENS_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 20_000  # characters encoded at once
+PATTERN = regex.compile(SPLIT)
+PIECE = 20_000  # characters encoded at once, and a word more
 
 
 @lru_cache(maxsize=2)
@@ -27,15 +29,16 @@ def encoding(path: str):
 
 
 def count(text: str, path: str = RANKS) -> int:
-    """Tokens of the whole text; very long texts are encoded piece by piece, cut at blanks where there are any."""
-    enc, n, i = encoding(path), 0, 0
-    while i < len(text):
-        j = i + PIECE
-        if j < len(text) and (cut := text.rfind(" ", i + 1, j)) > i:
-            j = cut
-        n += len(enc.encode_ordinary(text[i:j]))
-        i = j
-    return n
+    """Tokens of the whole text; very long texts are encoded piece by piece, cut where the tokenizer's own pattern splits."""
+    enc = encoding(path)
+    if len(text) <= PIECE:
+        return len(enc.encode_ordinary(text))
+    n, i = 0, 0
+    for m in PATTERN.finditer(text):
+        if m.end() - i >= PIECE:
+            n += len(enc.encode_ordinary(text[i : m.end()]))
+            i = m.end()
+    return n + len(enc.encode_ordinary(text[i:]))
 
 
 def with_sizes(df: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
