@@ -86,3 +86,21 @@ def rating_half_up(c: Column) -> Column:
 def chunks(c: Column, size: int) -> Column:
     """Pieces of `size` characters."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(c) - 1) / size), F.lit(0)).cast("int")), lambda i: F.substr(c, i * size + 1, F.lit(size)))
+
+
+# Letters of Turkish, German, French and Spanish and the plain ones they are folded to.
+PLAIN_FROM, PLAIN_TO = "çğıöşüâîûäàáãéèêëíìïóòôõúùñßčćžœæ", "cgiosuaiuaaaaeeeeiiioooouunscczoa"
+
+
+def folded(c: Column) -> Column:
+    """Lower case without diacritics, white space as single blanks: what rule terms are compared with. NULL stays NULL."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.translate(c, "İI", "ii")), PLAIN_FROM, PLAIN_TO), "[ \\t\\r\\n]+", " "))
+
+
+def folded_sql(column: str) -> str:
+    return f"trim(regexp_replace(translate(lower(translate({column}, 'İI', 'ii')), '{PLAIN_FROM}', '{PLAIN_TO}'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+def words_of(folded_text: Column) -> Column:
+    """The words of a folded text in order, repeated ones too."""
+    return F.filter(F.split(folded_text, r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1970, 2050
+FIRST_YEAR, LAST_YEAR = 1900, 2100  # before and after, the first and the last interval hold
 STEP_DAYS = 14  # probing step for offset changes
 LOCAL_MIN, LOCAL_MAX = -(2**62), 2**62
 

@@ -1,10 +1,9 @@
-"""Rule-table, sentiment, routing and learning queries."""
+"""Lookups, reports, similarity joins and learning queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from guestlens.operators import rules as ru
 from guestlens.operators import similarity as sim
 from guestlens.registry import query
 from guestlens.sources import domain
@@ -13,212 +12,17 @@ from guestlens.sources.tables import table
 
 ONLY = D.rstrip().rstrip(",")
 
-# Term weights of frames, domains, departments, intents; polarity words.
-FRAMES = [("room", "room", 1.5), ("room", "oda", 1.5), ("room", "Zimmer", 1.5), ("noise", "air conditioning", 2.5), ("noise", "klima", 2.5), ("food", "breakfast", 2.0), ("food", "kahvaltı", 2.0), ("food", "restaurant", 1.5), ("food", "restoran", 1.5), ("pool", "pool", 2.0), ("pool", "havuz", 2.0), ("price", "euros", 1.0), ("price", "lira", 1.0), ("price", "avro", 1.0)]
-DEPARTMENTS = [("housekeeping", "towels", 2.0), ("housekeeping", "havlular", 2.0), ("technical", "wifi", 2.0), ("technical", "internet", 2.0), ("technical", "lift", 1.5), ("technical", "asansör", 1.5), ("food_beverage", "minibar", 1.5), ("food_beverage", "snack", 1.5), ("front_office", "reception", 2.0), ("front_office", "Resepsiyon", 2.0)]
-POLARITY = [("positive", "wonderful", 1.0), ("positive", "best", 0.8), ("positive", "harika", 1.0), ("positive", "lezzetli", 0.8), ("positive", "happy", 0.6), ("negative", "damp", 1.0), ("negative", "cold and greasy", 1.2), ("negative", "soğuk", 1.0), ("negative", "bozuktu", 1.0), ("negative", "forgot", 0.8), ("negative", "unuttu", 0.8)]
-
-
-def values(rules, name="t"):
-    return "(VALUES " + ", ".join(f"('{k}', '{t}', {w})" for k, t, w in rules) + f") {name}(label, term, weight)"
-
-
-def best_sql(source, rules, default, least=0.0):
-    return f"""WITH s AS (SELECT id, label, sum(weight) AS score FROM {source} JOIN {values(rules)} ON contains(comment, term) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rn FROM s)
-    SELECT x.id, CASE WHEN b.score >= {least} THEN b.label ELSE '{default}' END AS label FROM {source} x LEFT JOIN b ON x.id = b.id AND rn = 1"""
-
-
-def register_best(name, source, rules, default, least=0.0):
-    @query(name, best_sql(source, rules, default, least))
-    def f(spark, d):
-        # NULL comments get the default like texts without a hit
-        return table(spark, d, source).select("id", F.coalesce(ru.best(F.col("comment"), rules, default, least), F.lit(default)).alias("label"))
-
-    return f
-
-
-register_best("cls_frames", "reviews", FRAMES, "other")
-register_best("cls_platform_dept", "entity_comments", DEPARTMENTS, "guest_relations", 1.5)
-register_best("cls_ontology_term", "entity_comments", FRAMES, "general")
-register_best("cls_ontology_aspect", "reviews", DEPARTMENTS, "general")
-register_best("cls_suggestion", "entity_comments", [("check the unit", "klima", 2.0), ("check the unit", "wifi", 2.0), ("train the team", "reception", 1.5), ("train the team", "Resepsiyon", 1.5), ("clean again", "damp", 2.0), ("clean again", "rutubet", 2.0)], "thank the guest", 1.5)
-register_best("cls_intent", "reviews", [("booking", "booking", 1.0), ("booking", "rezervasyon", 1.0), ("complaint", "complained", 2.5), ("complaint", "şikâyet", 2.5), ("price_question", "euros extra", 1.5)], "general_inquiry", 1.0)
-
-
-@query("cls_cue_match", f"SELECT term, count(*) AS n FROM reviews JOIN {values(FRAMES)} ON contains(comment, term) GROUP BY 1")
-def cls_cue_match(spark, d):
-    return table(spark, d, "reviews").select(F.explode(ru.hits(F.col("comment"), [t for _, t, _ in FRAMES])).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-SCORE_SQL = f"SELECT x.id, coalesce(sum(CASE WHEN label = 'positive' THEN weight ELSE -weight END), 0) AS score FROM reviews x LEFT JOIN {values(POLARITY)} ON contains(x.comment, term) WHERE x.comment IS NOT NULL GROUP BY 1"
-
-
-def polarity():
-    return sum((F.when(F.contains(F.col("comment"), F.lit(t)), w if k == "positive" else -w).otherwise(0.0) for k, t, w in POLARITY), F.lit(0.0))
-
-
-@query("cls_sentiment_text", f"WITH s AS ({SCORE_SQL}) SELECT id, round_even(greatest(-1.0, least(1.0, score / 2)), 2) AS score, CASE WHEN score / 2 > 0.08 THEN 'Positive' WHEN score / 2 < -0.08 THEN 'Negative' ELSE 'Neutral' END AS label FROM s")
-def cls_sentiment_text(spark, d):
-    s = table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.round(polarity(), 6).alias("s"))
-    h = F.col("s") / 2
-    return s.select("id", F.bround(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), h)), 2).alias("score"), F.when(h > 0.08, "Positive").when(h < -0.08, "Negative").otherwise("Neutral").alias("label"))
-
-
-RATING = "CASE rating WHEN 5 THEN 0.9 WHEN 4 THEN 0.5 WHEN 3 THEN 0.0 WHEN 2 THEN -0.5 WHEN 1 THEN -0.9 END"
-
-
-@query("cls_sentiment_rated", f"WITH s AS ({SCORE_SQL}), b AS (SELECT s.id, greatest(-1.0, least(1.0, score / 2)) AS t, {RATING} AS r FROM s JOIN reviews USING (id)), m AS (SELECT id, CASE WHEN r IS NULL THEN t ELSE 0.7 * t + 0.3 * r END AS v FROM b) SELECT CASE WHEN round(v, 6) > 0.1 THEN 'Positive' WHEN round(v, 6) < -0.1 THEN 'Negative' ELSE 'Neutral' END AS label, count(*) AS n FROM m GROUP BY 1")
-def cls_sentiment_rated(spark, d):
-    r = F.col("rating")
-    stars = F.when(r == 5, 0.9).when(r == 4, 0.5).when(r == 3, 0.0).when(r == 2, -0.5).when(r == 1, -0.9)
-    t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(polarity(), 6) / 2))
-    v = F.round(F.when(stars.isNull(), t).otherwise(0.7 * t + 0.3 * stars), 6)
-    s = table(spark, d, "reviews").where("comment IS NOT NULL").select(v.alias("v"))
-    return s.groupBy(F.when(F.col("v") > 0.1, "Positive").when(F.col("v") < -0.1, "Negative").otherwise("Neutral").alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("cls_star_predict", f"WITH s AS ({SCORE_SQL}) SELECT CASE WHEN score >= 1.0 THEN 5 WHEN score > 0 THEN 4 WHEN score = 0 THEN 3 WHEN score > -1.0 THEN 2 ELSE 1 END AS stars, count(*) AS n FROM (SELECT round(score, 6) AS score FROM s) GROUP BY 1")
-def cls_star_predict(spark, d):
-    s = table(spark, d, "reviews").where("comment IS NOT NULL").select(F.round(polarity(), 6).alias("s"))
-    return s.groupBy(F.when(F.col("s") >= 1, 5).when(F.col("s") > 0, 4).when(F.col("s") == 0, 3).when(F.col("s") > -1, 2).otherwise(1).alias("stars")).agg(F.count("*").alias("n"))
-
-
-@query("cls_phrase_patterns", f"SELECT id, sum(weight) AS score FROM reviews JOIN {values(POLARITY)} ON contains(comment, term) WHERE label = 'negative' GROUP BY 1")
-def cls_phrase_patterns(spark, d):
-    s = sum((F.when(F.contains(F.col("comment"), F.lit(t)), w).otherwise(0.0) for k, t, w in POLARITY if k == "negative"), F.lit(0.0))
-    return table(spark, d, "reviews").select("id", s.alias("score")).where("score > 0")
-
-
-DETECT = {
-    "cls_manipulation": "refund|iade isti|Voucher", "cls_humor": "well, let us say|nasıl desem|sagen wir", "cls_hyperbole": "!!|best fruit|gerçekten çok", "cls_casual": "^(Tel|TC no)|[.]{3}$",
-}
-for _name, _pattern in DETECT.items():
-
-    @query(_name, f"SELECT id FROM reviews WHERE regexp_matches(comment, '{_pattern}')")
-    def _detect(spark, d, pattern=_pattern):
-        return table(spark, d, "reviews").where(F.col("comment").rlike(pattern)).select("id")
-
-
-@query("cls_contradiction", "SELECT id FROM reviews WHERE rating >= 4 AND regexp_matches(comment, 'damp|bozuktu|greasy') AND NOT regexp_matches(comment, 'wonderful|harika')")
-def cls_contradiction(spark, d):
-    return table(spark, d, "reviews").where((F.col("rating") >= 4) & F.col("comment").rlike("damp|bozuktu|greasy") & ~F.col("comment").rlike("wonderful|harika")).select("id")
-
-
-LADDER = [("yangın|fire|gas", "emergency"), ("damp|rutubet|blocked|tıkalı", "health"), ("wifi|internet|lift|asansör", "technical"), ("towels|havlular|forgot|unuttu", "service")]
-
-
-def ladder_sql(column="comment"):
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{x}'" for p, x in LADDER) + " ELSE 'other' END"
-
-
-@query("cls_root_cause", f"SELECT {ladder_sql()} AS cause, count(*) AS n FROM entity_comments WHERE comment IS NOT NULL GROUP BY 1")
-def cls_root_cause(spark, d):
-    return table(spark, d, "entity_comments").where("comment IS NOT NULL").groupBy(ru.ladder(F.col("comment"), LADDER, "other").alias("cause")).agg(F.count("*").alias("n"))
-
-
-@query("cls_sev_urgency", f"WITH s AS (SELECT {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL) SELECT CASE c WHEN 'emergency' THEN 'critical' WHEN 'health' THEN 'high' WHEN 'technical' THEN 'medium' ELSE 'low' END AS severity, CASE WHEN c IN ('emergency', 'health') THEN 'now' ELSE 'later' END AS urgency, count(*) AS n FROM s GROUP BY 1, 2")
-def cls_sev_urgency(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(F.col("comment"), LADDER, "other").alias("c"))
-    return s.groupBy(F.when(F.col("c") == "emergency", "critical").when(F.col("c") == "health", "high").when(F.col("c") == "technical", "medium").otherwise("low").alias("severity"), F.when(F.col("c").isin("emergency", "health"), "now").otherwise("later").alias("urgency")).agg(F.count("*").alias("n"))
-
-
-@query("cls_recommend", f"WITH s AS (SELECT department, {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL) SELECT department, c AS cause, CAST(CASE c WHEN 'emergency' THEN 1 WHEN 'health' THEN 4 WHEN 'technical' THEN 24 ELSE 72 END AS INT) AS sla_hours, count(*) AS n FROM s GROUP BY 1, 2, 3")
-def cls_recommend(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select("department", ru.ladder(F.col("comment"), LADDER, "other").alias("cause"))
-    hours = F.when(F.col("cause") == "emergency", 1).when(F.col("cause") == "health", 4).when(F.col("cause") == "technical", 24).otherwise(72)
-    return s.groupBy("department", "cause").agg(F.count("*").alias("n")).withColumn("sla_hours", hours)
-
-
-@query("cls_triggers", "SELECT id, concat_ws(',', CASE WHEN regexp_matches(comment, 'damp|rutubet') THEN 'inspect' END, CASE WHEN regexp_matches(comment, 'wifi|internet') THEN 'ticket' END) AS triggers FROM entity_comments WHERE regexp_matches(comment, 'damp|rutubet|wifi|internet')")
-def cls_triggers(spark, d):
-    t = F.array_compact(F.array(F.when(F.col("comment").rlike("damp|rutubet"), "inspect"), F.when(F.col("comment").rlike("wifi|internet"), "ticket")))
-    return table(spark, d, "entity_comments").select("id", F.array_join(t, ",").alias("triggers")).where("triggers <> ''")
-
-
-@query("cls_gold_family", "SELECT department, CASE WHEN department IN ('technical', 'security') THEN 'operations' WHEN department IN ('housekeeping', 'front_office', 'guest_relations') THEN 'rooms' ELSE 'services' END AS family, count(*) AS n FROM entity_comments GROUP BY 1, 2")
-def cls_gold_family(spark, d):
-    f = F.when(F.col("department").isin("technical", "security"), "operations").when(F.col("department").isin("housekeeping", "front_office", "guest_relations"), "rooms").otherwise("services")
-    return table(spark, d, "entity_comments").groupBy("department", f.alias("family")).agg(F.count("*").alias("n"))
-
-
-@query("cls_mixed_review", ONLY + ", g AS (SELECT review_id, count(*) FILTER (sentiment = 'Positive') AS p, count(*) FILTER (sentiment = 'Negative') AS n FROM cl GROUP BY 1) SELECT review_id, p AS praise, n AS complaints FROM g WHERE p > 0 AND n > 0")
-def cls_mixed_review(spark, d):
-    s = F.col("sentiment")
-    return domain.clauses(spark, d).groupBy("review_id").agg(F.count_if(s == "Positive").alias("praise"), F.count_if(s == "Negative").alias("complaints")).where("praise > 0 AND complaints > 0")
-
-
 @query("cls_priority_legacy", ONLY + " SELECT CASE WHEN sentiment = 'Negative' AND priority >= 2 THEN 'P1' WHEN sentiment = 'Negative' THEN 'P2' WHEN sentiment = 'Neutral' THEN 'P3' ELSE 'P4' END AS level, count(*) AS n FROM cl GROUP BY 1")
 def cls_priority_legacy(spark, d):
     s = F.col("sentiment")
     return domain.clauses(spark, d).groupBy(F.when((s == "Negative") & (F.col("priority") >= 2), "P1").when(s == "Negative", "P2").when(s == "Neutral", "P3").otherwise("P4").alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("cls_span_multilingual", "SELECT lang, count(*) FILTER (regexp_matches(text, 'pool|Pool|piscine|piscina|бассейн|havuz')) AS pool, count(*) FILTER (regexp_matches(text, 'breakfast|Frühstück|déjeuner|desayuno|завтрак|kahvaltı')) AS breakfast FROM documents GROUP BY 1")
-def cls_span_multilingual(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(t.rlike("pool|Pool|piscine|piscina|бассейн|havuz")).alias("pool"), F.count_if(t.rlike("breakfast|Frühstück|déjeuner|desayuno|завтрак|kahvaltı")).alias("breakfast"))
-
-
-@query("cls_hodip_facts", f"WITH s AS (SELECT id, department, {ladder_sql()} AS c FROM entity_comments WHERE comment IS NOT NULL), t AS (SELECT unnest(['observation', 'impact', 'root_cause', 'action']) AS fact_type) SELECT fact_type, c AS cause, count(*) AS n FROM s, t WHERE c <> 'other' GROUP BY 1, 2")
-def cls_hodip_facts(spark, d):
-    s = table(spark, d, "entity_comments").where("comment IS NOT NULL").select(ru.ladder(F.col("comment"), LADDER, "other").alias("cause")).where("cause <> 'other'")
-    kinds = F.array(*map(F.lit, ("observation", "impact", "root_cause", "action")))
-    return s.select("cause", F.explode(kinds).alias("fact_type")).groupBy("fact_type", "cause").agg(F.count("*").alias("n"))
-
-
-@query("q_detect_domain", f"WITH s AS (SELECT id, label, sum(weight) AS score FROM reviews JOIN {values(FRAMES)} ON contains(comment, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS rn FROM s) SELECT id, CAST(rn AS INT) AS rank, label, score FROM r WHERE rn <= 3")
-def q_detect_domain(spark, d):
-    s = table(spark, d, "reviews").select("id", F.posexplode(F.slice(ru.scores(F.col("comment"), FRAMES), 1, 3)).alias("rank", "x"))
-    return s.select("id", (F.col("rank") + 1).alias("rank"), "x.label", "x.score")
-
-
-@query("q_search_entity", "SELECT id, CASE WHEN regexp_matches(comment, '[0-9]{3,4} numaralı oda') THEN 'room ' || regexp_extract(comment, '([0-9]{3,4}) numaralı oda', 1) WHEN regexp_matches(comment, 'havuz|pool') THEN 'pool' END AS entity FROM entity_comments WHERE regexp_matches(comment, '[0-9]{3,4} numaralı oda|havuz|pool')")
-def q_search_entity(spark, d):
-    e = F.when(F.col("comment").rlike("[0-9]{3,4} numaralı oda"), F.concat(F.lit("room "), F.regexp_extract(F.col("comment"), "([0-9]{3,4}) numaralı oda", 1))).when(F.col("comment").rlike("havuz|pool"), "pool")
-    return table(spark, d, "entity_comments").select("id", e.alias("entity")).where("entity IS NOT NULL")
-
-
-@query("q_ontology_stats", f"SELECT label, count(*) AS terms, sum(weight) AS weight FROM {values(FRAMES + DEPARTMENTS)} GROUP BY 1")
-def q_ontology_stats(spark, d):
-    return spark.createDataFrame(FRAMES + DEPARTMENTS, "label string, term string, weight double").groupBy("label").agg(F.count("*").alias("terms"), F.sum("weight").alias("weight"))
-
-
-@query("lex_merge", f"SELECT term, min(label) AS label FROM {values(FRAMES + DEPARTMENTS)} WHERE length(term) >= 4 GROUP BY 1")
-def lex_merge(spark, d):
-    rules = spark.createDataFrame([(*r, i) for i, r in enumerate(FRAMES + DEPARTMENTS)], "label string, term string, weight double, o int")
-    return rules.where("length(term) >= 4").groupBy("term").agg(F.min("label").alias("label"))
-
-
-@query("txt_split_glued", "SELECT p_partkey, regexp_replace(replace(p_name, ' ', ''), '(small|red|blue|hot|large|green|cold)', '\\1 ', 'g') AS text FROM part")
-def txt_split_glued(spark, d):
-    terms = sorted(("small", "red", "blue", "hot", "large", "green", "cold"), key=lambda t: -len(t))
-    return table(spark, d, "part").select("p_partkey", F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("")), f"({'|'.join(terms)})", "$1 ").alias("text"))
-
-
-@query("txt_light_stem", "SELECT id, regexp_replace(comment, '([a-zçğıöşü]{3,})(ların|lerin|lar|ler)\\M', '\\1', 'g') AS stem FROM entity_comments".replace("\\M", "( |$)").replace("'\\1'", "'\\1\\3'"))
-def txt_light_stem(spark, d):
-    return table(spark, d, "entity_comments").select("id", F.regexp_replace("comment", "([a-zçğıöşü]{3,})(ların|lerin|lar|ler)( |$)", "$1$3").alias("stem"))
-
-
-@query("txt_spell_dl1", "WITH v AS (SELECT unnest(['small', 'green', 'large', 'widget', 'gizmo']) AS word), t AS (SELECT DISTINCT substr(word, 1, 1) || substr(word, 3) AS typo FROM v) SELECT typo, word AS correction FROM t JOIN v ON levenshtein(typo, word) = 1")
-def txt_spell_dl1(spark, d):
-    v = spark.createDataFrame([(w,) for w in ("small", "green", "large", "widget", "gizmo")], "word string")
-    typos = v.select(F.concat(F.substring("word", 1, 1), F.substring("word", 3, 99)).alias("typo")).distinct()
-    words = F.array(*map(F.lit, ("small", "green", "large", "widget", "gizmo")))  # the vocabulary is part of the plan
-    return typos.select("typo", F.explode(F.filter(words, lambda w: F.levenshtein(F.col("typo"), w) == 1)).alias("correction"))
-
-
 @query("txt_vocab_build", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1 HAVING count(*) >= 2")
 def txt_vocab_build(spark, d):
     return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("txt_translate", "SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'red' THEN 'kırmızı' WHEN 'blue' THEN 'mavi' WHEN 'small' THEN 'küçük' ELSE w END), 'string_agg', ' ') AS text FROM part")
-def txt_translate(spark, d):
-    m = F.create_map(*[F.lit(x) for kv in {"red": "kırmızı", "blue": "mavi", "small": "küçük"}.items() for x in kv])
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.split("p_name", " "), lambda w: F.coalesce(F.element_at(m, w), w)), " ").alias("text"))
-
-
 @query("arr_first_n", "SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word FROM part")
 def arr_first_n(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.slice(F.split("p_name", " "), 1, 1), " ").alias("first_word"))
@@ -263,12 +67,6 @@ def q_test_cascade_delete(spark, d):
     return table(spark, d, "entity_comments").join(gone, "review_id", "left_anti").agg(F.count("*").alias("children_left"))
 
 
-@query("rtr_agent", "SELECT CASE WHEN regexp_matches(comment, 'selamlar|thanks|Dank') THEN 'greeting' WHEN regexp_matches(comment, 'wifi|internet') THEN 'faq' WHEN regexp_matches(comment, 'numaralı oda|room [0-9]') THEN 'entity' WHEN length(comment) > 300 THEN 'rag' ELSE 'clarify' END AS route, count(*) AS n FROM reviews WHERE comment IS NOT NULL GROUP BY 1")
-def rtr_agent(spark, d):
-    r = F.when(F.col("comment").rlike("selamlar|thanks|Dank"), "greeting").when(F.col("comment").rlike("wifi|internet"), "faq").when(F.col("comment").rlike("numaralı oda|room [0-9]"), "entity").when(F.length(F.col("comment")) > 300, "rag").otherwise("clarify")
-    return table(spark, d, "reviews").where("comment IS NOT NULL").groupBy(r.alias("route")).agg(F.count("*").alias("n"))
-
-
 @query("gen_headline", ONLY + ", g AS (SELECT department, count(*) FILTER (sentiment = 'Negative') AS n, count(*) AS t FROM cl GROUP BY 1) SELECT department || ': ' || n || ' of ' || t || ' negative' AS headline FROM g")
 def gen_headline(spark, d):
     g = domain.clauses(spark, d).groupBy("department").agg(F.count_if(F.col("sentiment") == "Negative").alias("n"), F.count("*").alias("t"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from guestlens.operators import rules as ru
 from guestlens.registry import query
 from guestlens.session import scratch_path
 from guestlens.sources import adapters, domain
@@ -12,89 +11,12 @@ from guestlens.sources.domain import DOMAIN_SQL as D
 from guestlens.sources.tables import table
 
 ONLY = D.rstrip().rstrip(",")
-SPLIT = r"[.!?]+\s+|, (?:but|ama|aber|mais|pero|но) | (?:although|oysa|obwohl|хотя) "
-
-
-def pieces(pattern):
-    return F.filter(F.split(F.col("comment"), pattern), lambda s: F.length(F.trim(s)) > 0)
-
-
-@query("seg_rule_split", f"SELECT id, CAST(len(list_filter(string_split_regex(comment, '{SPLIT}'), lambda s: length(trim(s, ' ')) > 0)) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
-def seg_rule_split(spark, d):
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.size(pieces(SPLIT)).alias("clauses"))
-
-
-@query("seg_combined", "SELECT id, CAST(greatest(len(string_split_regex(comment, '[.!?]+\\s+')), len(string_split_regex(comment, ', '))) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
-def seg_combined(spark, d):
-    # two segmentations, the finer one counts
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.greatest(F.size(F.split(F.col("comment"), r"[.!?]+\s+")), F.size(F.split(F.col("comment"), ", "))).alias("clauses"))
-
-
-@query("seg_platform", "SELECT id, CAST(len(list_filter(string_split_regex(review_text, '[.!?;\\n]+'), lambda s: length(trim(s, ' ')) >= 8)) AS INT) AS clauses FROM platform_reviews WHERE review_text IS NOT NULL")
-def seg_platform(spark, d):
-    return table(spark, d, "platform_reviews").where("review_text IS NOT NULL").select("id", F.size(F.filter(F.split("review_text", r"[.!?;\n]+"), lambda s: F.length(F.trim(s)) >= 8)).alias("clauses"))
-
-
-@query("seg_finalize", f"SELECT id, CAST(len(list_filter(string_split_regex(comment, '{SPLIT}'), lambda s: length(trim(s, ' ')) >= 12)) AS INT) AS clauses FROM reviews WHERE comment IS NOT NULL")
-def seg_finalize(spark, d):
-    # fragments under a dozen characters don't stand alone
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.size(F.filter(F.split(F.col("comment"), SPLIT), lambda s: F.length(F.trim(s)) >= 12)).alias("clauses"))
-
-
-@query("seg_ve_coordination", "SELECT id, CAST(len(string_split(comment, ' ve ')) - 1 AS INT) AS joins FROM entity_comments WHERE comment IS NOT NULL")
-def seg_ve_coordination(spark, d):
-    return table(spark, d, "entity_comments").where("comment IS NOT NULL").select("id", (F.size(F.split(F.col("comment"), " ve ")) - 1).alias("joins"))
-
-
-@query("cls_aspect_resolve", ONLY + " SELECT CASE WHEN aspect = 'PROMO' AND priority = 3 THEN 'urgent promotion' WHEN aspect = 'PROMO' THEN 'promotion' WHEN department IN ('Brand#1', 'Brand#2') THEN 'house brand' ELSE lower(aspect) END AS label, count(*) AS n FROM cl GROUP BY 1")
-def cls_aspect_resolve(spark, d):
-    label = F.when((F.col("aspect") == "PROMO") & (F.col("priority") == 3), "urgent promotion").when(F.col("aspect") == "PROMO", "promotion").when(F.col("department").isin("Brand#1", "Brand#2"), "house brand").otherwise(F.lower("aspect"))
-    return domain.clauses(spark, d).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("cls_sentiment_modifiers", ONLY + " SELECT CASE WHEN contains(text, 'hot') THEN -4 WHEN contains(text, 'green') AND score5 > 0 THEN 5 ELSE score5 END AS score, count(*) AS n FROM cl GROUP BY 1")
-def cls_sentiment_modifiers(spark, d):
-    t = F.col("text")
-    s = F.when(F.contains(t, F.lit("hot")), -4).when(F.contains(t, F.lit("green")) & (F.col("score5") > 0), 5).otherwise(F.col("score5"))
-    return domain.clauses(spark, d).groupBy(s.alias("score")).agg(F.count("*").alias("n"))
-
-
-@query("cls_dept_guards", ONLY + " SELECT CASE WHEN contains(text, 'bolt') THEN 'Brand#1' WHEN contains(text, 'gear') AND department = 'Brand#2' THEN 'Brand#3' ELSE department END AS department, count(*) AS n FROM cl GROUP BY 1")
-def cls_dept_guards(spark, d):
-    t = F.col("text")
-    dep = F.when(F.contains(t, F.lit("bolt")), "Brand#1").when(F.contains(t, F.lit("gear")) & (F.col("department") == "Brand#2"), "Brand#3").otherwise(F.col("department"))
-    return domain.clauses(spark, d).select(dep.alias("department")).groupBy("department").agg(F.count("*").alias("n"))
-
-
-@query("cls_clause_full", ONLY + " SELECT department, aspect, sentiment, CASE priority WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Info' END AS level, count(*) AS n FROM cl GROUP BY 1, 2, 3, 4")
-def cls_clause_full(spark, d):
-    names = F.create_map(*[x for k, v in domain.PRIORITIES.items() for x in (F.lit(k), F.lit(v))])
-    g = domain.clauses(spark, d).groupBy("department", "aspect", "sentiment", "priority").agg(F.count("*").alias("n"))
-    return g.select("department", "aspect", "sentiment", F.element_at(names, F.col("priority")).alias("level"), "n")
-
-
-@query("cls_category_service", "SELECT id, coalesce(CASE WHEN contains(comment, 'wifi') THEN 'tech' END, CASE WHEN rating <= 2 THEN 'complaint' END, 'general') AS category FROM reviews")
-def cls_category_service(spark, d):
-    return table(spark, d, "reviews").select("id", F.coalesce(F.when(F.contains(F.col("comment"), F.lit("wifi")), F.lit("tech")), F.when(F.col("rating") <= 2, F.lit("complaint")), F.lit("general")).alias("category"))
-
-
 @query("ret_cold_embed", "SELECT p_partkey, CAST(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: unicode(substr(p_name, i, 1)))) AS BIGINT) AS code_sum FROM part")
 def ret_cold_embed(spark, d):
     codes = F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: F.ascii(F.substr(F.col("p_name"), i, F.lit(1))))
     return table(spark, d, "part").select("p_partkey", F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("code_sum"))
 
 
-FAQ = {"wifi": ("wifi", "internet", "dropped"), "pool": ("pool", "terrace", "crowded"), "towels": ("towels", "changed", "days")}
-
-
-@query("ret_faq_match", "WITH f AS (SELECT * FROM (VALUES ('wifi', ['wifi', 'internet', 'dropped']), ('pool', ['pool', 'terrace', 'crowded']), ('towels', ['towels', 'changed', 'days'])) t(faq, terms)), s AS (SELECT id, faq, len(list_filter(terms, lambda t: contains(comment, t))) / 3.0 AS score FROM reviews, f WHERE comment IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, faq) AS rn FROM s WHERE score >= 0.6) SELECT id, faq, round_even(score, 4) AS score FROM r WHERE rn = 1")
-def ret_faq_match(spark, d):
-    score = lambda terms: F.size(ru.hits(F.col("comment"), list(terms))) / F.lit(3.0)
-    each = F.array(*[F.struct((-score(t)).alias("neg"), F.lit(k).alias("faq")) for k, t in FAQ.items()])
-    top = F.array_min(F.filter(each, lambda x: x["neg"] <= -0.6))
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", top["faq"].alias("faq"), F.bround(-top["neg"], 4).alias("score")).where("faq IS NOT NULL")
-
-
 @query("gen_ops_summary", ONLY + ", r AS (SELECT review_id, department, text, row_number() OVER (PARTITION BY review_id ORDER BY 2 * priority + abs(score5) DESC, clause_index, category_id, reviewer_id, price) AS rn FROM cl) SELECT review_id, string_agg(department || ' ' || text, '; ' ORDER BY rn) AS summary FROM r WHERE rn <= 2 GROUP BY 1")
 def gen_ops_summary(spark, d):
     key = F.struct((-(2 * F.col("priority") + F.abs("score5"))).alias("s"), "clause_index", "category_id", "reviewer_id", "price", F.concat_ws(" ", "department", "text").alias("t"))

@@ -83,52 +83,10 @@ def seg_en(spark, d):
 CONTRAST = (", but ", ", ama ", ", aber ", ", mais ", ", pero ", ", но ")
 
 
-@query("seg_simple_mixed", "SELECT id, CASE " + " ".join(f"WHEN contains(comment, '{s}') THEN split_part(comment, '{s}', 1)" for s in CONTRAST) + " END AS before FROM reviews WHERE comment IS NOT NULL")
-def seg_simple_mixed(spark, d):
-    c = F.col("comment")
-    first = F.coalesce(*[F.when(F.contains(c, F.lit(s)), F.substring_index(c, s, 1)) for s in CONTRAST])
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", first.alias("before"))
-
-
-@query("seg_masks", "SELECT id, CAST(len(string_split(regexp_replace(comment, '([0-9])\\.([0-9])', '\\1·\\2', 'g'), '.')) AS INT) AS parts FROM reviews WHERE comment IS NOT NULL")
-def seg_masks(spark, d):
-    # decimals are masked, the text is split, and the mask can be undone afterwards
-    return table(spark, d, "reviews").where("comment IS NOT NULL").select("id", F.size(F.split(F.regexp_replace("comment", r"([0-9])\.([0-9])", "$1·$2"), r"\.")).alias("parts"))
-
-
-@query("seg_skip", "SELECT id FROM entity_comments WHERE length(trim(comment)) < 40 OR regexp_matches(comment, '^(Tel|TC no)')")
-def seg_skip(spark, d):
-    return table(spark, d, "entity_comments").where((F.length(F.trim("comment")) < 40) | F.col("comment").rlike("^(Tel|TC no)")).select("id")
-
-
-LEXICON = {"hot": -1.0, "red": -0.5, "small": -0.25, "blue": 0.5, "cold": -1.0, "large": 0.75, "green": 1.0}
-LEX_SQL = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', {x})" for w, x in LEXICON.items()) + ") t(word, weight))"
-
-
-@query("cls_lexicon_hits", f"WITH {LEX_SQL} SELECT p_partkey, count(*) FILTER (weight > 0) AS positive, count(*) FILTER (weight < 0) AS negative, coalesce(sum(weight), 0) AS score FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) LEFT JOIN lx USING (word) GROUP BY 1")
-def cls_lexicon_hits(spark, d):
-    # single-word terms: a map in the plan instead of a nested-loop join
-    weights = F.create_map(*[F.lit(x) for kv in LEXICON.items() for x in kv])
-    hits = F.transform(F.split("p_name", " "), lambda w: F.coalesce(F.element_at(weights, w), F.lit(0.0)))
-    p = table(spark, d, "part").select("p_partkey", hits.alias("h"))
-    return p.select("p_partkey", F.size(F.filter("h", lambda x: x > 0)).cast("bigint").alias("positive"), F.size(F.filter("h", lambda x: x < 0)).cast("bigint").alias("negative"), F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("score"))
-
-
 CATEGORY_TERMS = [("room", "carpet", 2.0), ("room", "mattress", 2.5), ("room", "bathroom", 2.0), ("food", "breakfast", 2.5), ("food", "restaurant", 2.0), ("food", "snack bar", 1.5), ("pool", "pool", 2.0), ("pool", "sun loungers", 2.5), ("tech", "wifi", 2.0), ("tech", "lift", 2.0), ("tech", "air conditioning", 2.5), ("front", "reception", 2.0), ("front", "manager", 1.0)]
 TERMS_SQL = "tm AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}', {w})" for c, t, w in CATEGORY_TERMS) + ") t(category, term, weight))"
 
 
-@query("cls_category_rules", f"WITH {TERMS_SQL}, s AS (SELECT id, category, sum(weight) AS score FROM reviews JOIN tm ON contains(comment, term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rn, lead(score, 1, 0) OVER (PARTITION BY id ORDER BY score DESC, category) AS nxt FROM s) SELECT id, category, score, CAST((score >= 3 AND score - nxt >= 1.5) OR (score >= 2 AND score - nxt >= 1) AS INT) AS accepted FROM r WHERE rn = 1")
-def cls_category_rules(spark, d):
-    # the rule table is fixed and small, so each category's score is an expression; no join, no shuffle
-    cats = sorted({c for c, _, _ in CATEGORY_TERMS})
-    score = lambda c: sum((F.when(F.contains(F.col("comment"), F.lit(t)), w).otherwise(0.0) for k, t, w in CATEGORY_TERMS if k == c), F.lit(0.0))
-    ranked = F.array_sort(F.filter(F.array(*[F.struct((-score(c)).alias("n"), F.lit(c).alias("category")) for c in cats]), lambda x: x["n"] < 0))
-    r = table(spark, d, "reviews").select("id", ranked.alias("r")).where("size(r) > 0")
-    s, nxt = -F.col("r")[0]["n"], -F.coalesce(F.get("r", F.lit(1))["n"], F.lit(0.0))
-    return r.select("id", F.col("r")[0]["category"].alias("category"), s.alias("score"), (((s >= 3) & (s - nxt >= 1.5)) | ((s >= 2) & (s - nxt >= 1))).cast("int").alias("accepted"))
-
-
 @query("cls_en_keyword", f"WITH {TERMS_SQL} SELECT term, count(*) AS documents FROM documents JOIN tm ON contains(text, term) WHERE lang = 'en' GROUP BY 1")
 def cls_en_keyword(spark, d):
     hits = F.filter(F.array(*[F.lit(t) for _, t, _ in CATEGORY_TERMS]), lambda t: F.contains(F.col("text"), t))
@@ -142,11 +100,6 @@ def cls_issue_type(spark, d):
     return table(spark, d, "entity_comments").select("id", first["term"].alias("term")).where("term IS NOT NULL")
 
 
-@query("cls_room_extract", "SELECT id, regexp_extract(comment, '([0-9]{3,4}) numaralı oda', 1) AS room FROM entity_comments WHERE regexp_matches(comment, '[0-9]{3,4} numaralı oda')")
-def cls_room_extract(spark, d):
-    return table(spark, d, "entity_comments").where(F.col("comment").rlike("[0-9]{3,4} numaralı oda")).select("id", F.regexp_extract("comment", "([0-9]{3,4}) numaralı oda", 1).alias("room"))
-
-
 @query("cls_rating_score", "SELECT rating, CASE CAST(rating AS INT) WHEN 5 THEN 0.9 WHEN 4 THEN 0.5 WHEN 3 THEN 0.0 WHEN 2 THEN -0.5 WHEN 1 THEN -0.9 END AS score, count(*) AS n FROM scraped_reviews GROUP BY 1, 2")
 def cls_rating_score(spark, d):
     m = F.create_map(*[F.lit(x) for kv in {5: 0.9, 4: 0.5, 3: 0.0, 2: -0.5, 1: -0.9}.items() for x in kv])
@@ -168,19 +121,6 @@ def cls_severity(spark, d):
     return domain.clauses(spark, d).groupBy(level.alias("severity")).agg(F.count("*").alias("n"))
 
 
-@query("cls_emotion", "SELECT CASE WHEN regexp_matches(comment, 'apologised|özür|excusé|entschuldigte') THEN 'relief' WHEN regexp_matches(comment, 'complained|şikâyet|réclam') THEN 'anger' WHEN regexp_matches(comment, 'wonderful|harika|großartig') THEN 'joy' ELSE 'none' END AS emotion, count(*) AS n FROM reviews WHERE comment IS NOT NULL GROUP BY 1")
-def cls_emotion(spark, d):
-    c = F.col("comment")
-    e = F.when(c.rlike("apologised|özür|excusé|entschuldigte"), "relief").when(c.rlike("complained|şikâyet|réclam"), "anger").when(c.rlike("wonderful|harika|großartig"), "joy").otherwise("none")
-    return table(spark, d, "reviews").where("comment IS NOT NULL").groupBy(e.alias("emotion")).agg(F.count("*").alias("n"))
-
-
-@query("cls_heuristic_flags", "SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 60 THEN 'short' END, CASE WHEN contains(text, '!!') THEN 'shouting' END, CASE WHEN lang IS NULL THEN 'no_language' END) AS flags FROM documents WHERE n_chars < 60 OR contains(text, '!!') OR lang IS NULL")
-def cls_heuristic_flags(spark, d):
-    flags = F.array_compact(F.array(F.when(F.col("n_chars") < 60, "short"), F.when(F.contains(F.col("text"), F.lit("!!")), "shouting"), F.when(F.col("lang").isNull(), "no_language")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(flags, ",").alias("flags")).where("flags <> ''")
-
-
 @query("cls_calibrate", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN least(0.98, 0.98 * x) WHEN 'PROMO' THEN least(0.75, 0.85 * x) WHEN 'LARGE' THEN least(0.85, 0.9 * x) ELSE least(0.9, x) END AS confidence FROM (SELECT *, p_size / 50.0 AS x FROM part)")
 def cls_calibrate(spark, d):
     x, t = F.col("p_size") / F.lit(50.0), F.col("p_type")
