@@ -3,7 +3,8 @@
 The mix is as large as the targets and the cap on repeats allow. A source that must give more than it has is copied
 whole as often as needed; for the rest each document has an inclusion probability that grows with the root of its size
 (1 at most: such documents are certain), and the documents with the smallest ratio of random odds to inclusion odds are
-taken until the size is reached. The cut is found on two histograms of the ratio, so no source is ever sorted or gathered.
+taken until the size is reached. The cut is found on histograms of the ratio, each over the bin that crosses the size in the
+one before, until single documents are told apart; so no source is ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 SIZE_POWER = 0.5
 SIZE_BINS = 1.02  # ratio of neighbouring size bins
 CUT_BINS = 1000
+LEVELS = 5  # histograms at most: CUT_BINS ** LEVELS bins are as fine as the ratio itself
 
 
 def solve_rate(bins: list[tuple[float, float]], need: float) -> float:
@@ -38,8 +40,9 @@ def uniform(*columns: Column) -> Column:
 def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """One row per mix and document used: mix_name, source, key, n_tokens, copies.
 
-    docs must be cheap to read again (a written table). Documents of NULL source or no tokens are never used; a mix with a
-    target for a source without documents is empty. targets is a dimension whose rows are read on the driver.
+    docs must be cheap to read again (a written table). Documents of NULL source or no tokens are never used. A target for a
+    source without documents gives nothing, and the other shares of its mix are reckoned without it. targets is a dimension
+    whose rows are read on the driver.
     """
     spark = docs.sparkSession
     docs = docs.where(F.col(size) > 0).select(key, "source", F.col(size).alias("n_tokens"))
@@ -54,11 +57,12 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
         mixes.setdefault(r.mix_name, []).append(r)
     plan = []
     for mix, rows in mixes.items():
-        rows = [r for r in rows if r.target_share > 0]
+        rows = [r for r in rows if r.target_share > 0 and r.source in have]
+        whole_share = sum(r.target_share for r in rows)
         total = {r.source: sum(t for _, t in have.get(r.source, [])) for r in rows}
-        reach = min((total[r.source] * r.max_repeats / r.target_share for r in rows), default=0.0)
+        reach = min((total[r.source] * r.max_repeats * whole_share / r.target_share for r in rows), default=0.0)
         for r in rows:
-            need = reach * r.target_share
+            need = reach * r.target_share / whole_share
             if need > 0:
                 whole = min(int(need / total[r.source] + 1e-9), r.max_repeats)
                 rest = max(0.0, need - whole * total[r.source])
@@ -71,30 +75,30 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str = "doc_id", size: str =
     ratio = (u / (1 - u)) / (F.col("prob") / (1 - F.col("prob")))
     ranked = docs.join(F.broadcast(p), "source").withColumn("prob", prob)
     ranked = ranked.withColumn("v", F.when(F.col("rate") <= 0, 1.0).when(F.col("prob") >= 1, 0.0).otherwise(ratio / (1 + ratio)))
-    first, second = F.floor(F.col("v") * CUT_BINS), F.floor((F.col("v") * CUT_BINS - F.floor(F.col("v") * CUT_BINS)) * CUT_BINS)
-
-    def cut(df: DataFrame, by: Column, rests: dict, closer: bool = False) -> dict:
-        rows = df.where("rate > 0").groupBy("mix_name", "source", by.alias("b")).agg(F.sum("n_tokens").alias("t")).collect()  # CUT_BINS rows a source at most
-        out = {}
-        for k, rest in rests.items():
-            own = sorted((r.b, r.t) for r in rows if (r.mix_name, r.source) == k)
-            before = 0
-            for b, t in own:
+    level = {(m, s): (0.0, rest) for m, s, _, rest, rate in plan if rate > 0}  # lower end of the bin that crosses, what it must still give
+    cuts: dict[tuple[str, str], float] = {}  # documents below are taken
+    width = 1.0
+    for n in range(LEVELS):
+        if not level:
+            break
+        edges = spark.createDataFrame([(m, s, lo) for (m, s), (lo, _) in level.items()], "mix_name string, source string, lo double")
+        inside = ranked.where("rate > 0").join(F.broadcast(edges), ["mix_name", "source"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("lo") + width))
+        bins = inside.groupBy("mix_name", "source", F.floor((F.col("v") - F.col("lo")) / (width / CUT_BINS)).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()  # CUT_BINS rows a source at most
+        width /= CUT_BINS
+        following = {}
+        for k, (lo, rest) in level.items():
+            before, cuts[k] = 0, lo + width * CUT_BINS
+            for b, t, n_docs in sorted((r.b, r.t, r.n) for r in bins if (r.mix_name, r.source) == k):
                 if before + t > rest:
-                    # the last step takes the bin that crosses the size where that comes closer
-                    out[k] = (b + 1, before + t) if closer and before + t - rest < rest - before else (b, before)
+                    if n_docs > 1 and n + 1 < LEVELS:
+                        following[k] = (lo + b * width, rest - before)
+                    # the last document is taken where that comes closer
+                    cuts[k] = lo + (b + (before + t - rest < rest - before)) * width
                     break
                 before += t
-            else:
-                out[k] = (CUT_BINS + 1, before)
-        return out
-
-    rests = {(m, s): rest for m, s, _, rest, rate in plan if rate > 0}
-    coarse = cut(ranked, first, rests)
-    edge = spark.createDataFrame([(m, s, int(b)) for (m, s), (b, _) in coarse.items()], "mix_name string, source string, b1 bigint")
-    fine = cut(ranked.join(F.broadcast(edge), ["mix_name", "source"]).where(first == F.col("b1")), second, {k: rests[k] - coarse[k][1] for k in coarse}, closer=True)
-    both = spark.createDataFrame([(m, s, int(coarse[m, s][0]), int(fine[m, s][0])) for m, s in coarse], "mix_name string, source string, b1 bigint, b2 bigint")
-    chosen = ranked.join(F.broadcast(both), ["mix_name", "source"], "left").withColumn("extra", F.when((first < F.col("b1")) | (first == F.col("b1")) & (second < F.col("b2")), 1).otherwise(0))
+        level = following
+    both = spark.createDataFrame([(m, s, c) for (m, s), c in cuts.items()], "mix_name string, source string, cut double")
+    chosen = ranked.join(F.broadcast(both), ["mix_name", "source"], "left").withColumn("extra", F.when(F.col("v") < F.col("cut"), 1).otherwise(0))
     return chosen.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int")).where("copies > 0").select("mix_name", "source", key, "n_tokens", "copies")
 
 

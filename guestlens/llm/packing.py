@@ -1,9 +1,11 @@
 """Filling containers of permitted capacities by variable-capacity best fit.
 
-Items are spread over groups of bounded size by a hash, and each group is packed on its own: best fit in order of falling
-size; where nothing fits, a container of the size with the least expected unused share is opened; at the end every
-container is downsized to the smallest permitted capacity that holds its contents. A group of GROUP_ITEMS items leaves a
-handful of containers partly empty, which is all that packing in groups costs.
+A container of capacity c costs c + c * c / COST_LENGTH: room, and the work over a sequence that grows with its square. Of
+several permitted capacities those are opened that make the whole arrangement cheap. Items are spread over groups of bounded
+size by a hash, and each group is packed on its own: best fit in order of falling size; where nothing fits, the capacity is
+opened that costs least per token it may still expect; at the end every container is downsized to the smallest permitted
+capacity that holds its contents. A group of GROUP_ITEMS items leaves a handful of containers partly empty, which is all that
+packing in groups costs.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ITEMS = 20_000
+COST_LENGTH = 16_384  # capacity at which the work over a sequence costs as much as its room
+
+
+def cost(capacity: int) -> float:
+    return capacity + capacity * capacity / COST_LENGTH
 
 
 def pack(sizes: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
@@ -56,9 +63,9 @@ def pack(sizes: list[int], capacities: list[int]) -> tuple[list[tuple[int, int,
                 del bins_with[r]
                 room.pop(k)
         else:
-            # expected unused share of a size: what the remaining items can't fill, and half a smallest item
+            # contents a capacity may expect: at most what remains, and half a smallest item stays free
             fits = [c for c in caps if c >= size]
-            c = min(fits, key=lambda c: ((max(0, c - left) + min(c - size, smallest / 2)) / c, c))
+            c = min(fits, key=lambda c: (cost(c) / max(size, min(left, c - min(c - size, smallest / 2))), c))
             b = len(free)
             free.append(c)
             used.append(0)
@@ -87,5 +94,5 @@ def packed(items: DataFrame, plans: dict[str, list[int]], key: str = "doc_id", s
             rows += [(plan, f"{plan}-{group}-{b}", caps[b], keys[i], at, n) for i, at, n, b in out]
         return pd.DataFrame(rows, columns=["plan", "container", "capacity", key, "first_token", "n_tokens"])
 
-    grouped = items.where(F.col(size) > 0).select(key, size, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
+    grouped = items.where(F.col(size) > 0).select(key, size, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g")).repartition(groups, "g")
     return grouped.groupBy("g").applyInPandas(run, f"plan string, container string, capacity int, `{key}` {kind}, first_token bigint, n_tokens bigint")

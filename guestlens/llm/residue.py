@@ -1,8 +1,7 @@
 """Template residue, filler, error pages and scripts-required notices instead of content.
 
 Character 4-gram models are fitted for filler, error notices, script notices, page furniture and placeholders (on phrases
-written here and what they lead to in a bounded sample of the corpus) and for natural prose (4-grams of all documents). Over every
-whole text the log likelihood ratio of each model against prose is averaged in windows; characters in windows that favour
+written here and the documents they lead to) and for natural prose; all documents' 4-grams are counted. Over every whole text the log likelihood ratio of each model against prose is averaged in windows; characters in windows that favour
 a residue model are residue. A document goes when residue covers most of it, furniture aside. Placeholders are localised
 by their own windows; an exact pattern then decides inside them.
 """
@@ -20,38 +19,47 @@ from pyspark.sql import types as T
 
 from guestlens.llm.language import tables
 
-SAMPLE_ROWS = 4000  # documents that more examples of the residue kinds are taken from, at most
+CORPUS_MASS = 200_000  # 4-grams that a kind's documents in the corpus weigh, at most
 BITS = 18
 GRAM = 4
+MARK_LENGTH = 46  # characters of the longest placeholder
 WINDOW, MARK_WINDOW = 24, 10  # characters of a window, and of one for placeholders
 LEVEL = 0.25  # mean log likelihood ratio from which a window is residue
 COVERAGE = 0.5
 CLASSES = ("filler", "error", "script", "furniture", "mark")
 
-# Phrases of the residue kinds, by kind; | separates alternatives that are combined.
+# Phrases of the residue kinds, by kind, as web servers, frameworks and editors commonly word them; | separates alternatives.
 FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
-tempor urna magna quis porta amet felis sem ipsum dolor velit nulla massa vitae aliqua lorem
-xxxx xxxxx xxx xxxxxx xx|zzzz zzz zz zzzzz|asdf asdf qwerty qwer|test test test text text text|aaaa bbbb cccc|tbd|todo
-TODO: write the description here later before launch|TBD: insert the text here|add the content here|insert the opening hours here|placeholder text goes here|sample text, replace me|your text here|coming soon, text to follow
-Buraya metin gelecek. Lütfen düzenleyiniz.|Buraya açıklama yazısı eklenecek.|Bu alana tanıtım yazısı eklenecek.|Örnek metin. Daha sonra doldurulacak.
-Hier steht später ein Text. Bitte ersetzen.|Platzhaltertext, bitte ersetzen.|Blindtext|Hier kommt der Text hin.|Beispieltext
-Texte à venir ici. À remplir plus tard.|Texte provisoire à remplacer.|Texto de ejemplo. Escriba aquí su texto.|Texto provisional, pendiente de completar.|Aquí irá el texto
-Здесь будет текст. Текст для примера.|Описание появится здесь.|Hier erscheint die Beschreibung.|Paste your copy here.|Second paragraph goes here.|Заполните это поле позже.|Testo di esempio da sostituire|Hier komt de tekst""".split("\n")
-ERROR = """Error 404: page not found|Error 500: internal server error|503 Service Unavailable|502 Bad Gateway|504 Gateway Time-out|403 Forbidden|404 Not Found|No such page|Internal error
-Oops! Something went wrong. Reference: 12345|We could not complete your request. Reference 123|An unexpected condition was met.|The requested page does not exist.|The page you are looking for was moved or deleted.|the service is busy, please come back later|down for maintenance, try again in a few minutes
-Access denied. You do not have permission to view this page. Ray 123|You are not allowed to open this page.|Unusual traffic detected. Please solve the puzzle to go on.|Please slow down and confirm that you are not a robot.|Too many requests
-Traceback: KeyError at reviews/list.php line 123|Unhandled exception: NullReferenceException at Hotel.Web.Page.Load() line 1|Fatal error: undefined index at render_page line 12|TimeoutException at|SQL error: deadlock on page 123|SQL error: connection refused (1)|Database connection failed: timeout after 123 ms|could not connect to server: timeout after 123 ms
-{"status":404,"error":"Not Found","path":"/reviews/123"}|{"code":500,"message":"Internal Error","path":"/pages/12"}
-Sayfa bulunamadı. Hata kodu 404.|Sunucu hatası. Lütfen birazdan tekrar deneyin. (Kod: 500)|Beklenmeyen bir hata oluştu. Lütfen daha sonra tekrar deneyin. (Hata: 5)|Aradığınız sayfa kaldırılmış ya da taşınmış olabilir.|Erişim engellendi.
-Die Seite wurde leider nicht gefunden. Fehlercode 404.|Die Bewertung wurde leider nicht gefunden. Fehler 404.|Ein interner Fehler ist aufgetreten. Bitte versuchen Sie es später erneut.|Zugriff verweigert.
-Erreur 404 : page introuvable.|Une erreur est survenue. Veuillez réessayer plus tard.|Accès refusé.|No se pudo cargar la página en este momento. Error 500. Inténtelo más tarde.|Esta página no está disponible en este momento.|Página no encontrada.
-Страница не найдена. Ошибка 404.|Запрашиваемая страница удалена. Вернитесь на главную.|Произошла ошибка. Попробуйте позже.|Доступ запрещён.|Pagina non trovata. Errore 404.|Pagina niet gevonden. Er is een fout opgetreden.""".split("\n")
-SCRIPT = """This site requires JavaScript.|This page needs scripts to be on.|This app will not work without JavaScript.|This site needs client-side scripting.|You need to enable JavaScript to use the booking form.|Please turn on scripts for this site to load this page.|To continue, please allow scripts in your browser to view the guest reviews.|Please activate JS to continue
-Your browser has scripts disabled; the review list cannot be shown.|Your browser does not support scripting; the booking widget cannot be shown.|the map cannot be shown|<noscript>This page needs JavaScript.</noscript>
-Bu sayfayı görüntülemek için tarayıcınızda JavaScript etkin olmalıdır.|Bu içeriği kullanmak için tarayıcınızda JavaScript'e izin verin.|betikleri açmanız gerekir|Yorumlar yüklenemedi: betikler engellenmiş. Ayarlardan açıp sayfayı yenileyin.|Takvim açılamadı: JavaScript kapalı görünüyor.
-Bitte aktivieren Sie JavaScript, um fortzufahren.|Bitte erlauben Sie Skripte, um die Bewertungen zu sehen.|Bitte schalten Sie Skripte ein, um zu buchen.|Ce site nécessite JavaScript pour fonctionner correctement.|Ce site ne fonctionne pas sans scripts, merci de les activer.|Veuillez activer JavaScript
-Active JavaScript y recargue la página.|Habilite los scripts para ver las opiniones.|Для работы сайта включите JavaScript в браузере.|Для просмотра отзывов разрешите выполнение скриптов в браузере.|Attivare JavaScript per continuare.|Schakel JavaScript in om deze pagina te bekijken.""".split("\n")
-FURNITURE = """Home | Rooms | Spa | Contact|Back to top|Cookie settings|Loading...|Ana Sayfa > Oteller > Yorumlar|Tüm hakları saklıdır|Menü Angebote Buchen Kontakt|© 2026|All rights reserved|Ref 1234|Accept cookies|Share | Print|Impressum Datenschutz|Zurück nach oben|Inicio | Habitaciones | Contacto|Accueil | Chambres | Contact|Главная | Номера | Контакты""".split("\n")
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor
+in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident
+sunt in culpa qui officia deserunt mollit anim id est laborum|sed ut perspiciatis unde omnis iste natus error sit voluptatem|vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae massa urna porta sem felis
+xxxx xxxxx xxx xxxxxx xx|zzzz zzz zz zzzzz|asdf asdf qwerty qwer|asdfasdf jkl jkl|test test test|testing 1 2 3 test text test text|foo bar baz foo bar|aaaa bbbb cccc|abc abc abc|tbd|todo|n/a n/a n/a
+TODO: add copy|TODO: write this section|TBD: to be supplied by marketing|TBC, text pending|FIXME: replace this dummy text|[insert text here]|insert your text here|enter a description here|Add your content here.|Click to add text|Type something here|Your content goes here. Edit or remove this text inline.|This is some sample text.|This is a placeholder paragraph.|Dummy text, to be replaced before launch.|Text to follow.|Description to be added later.|Write your introduction here.|First paragraph goes here.|Heading goes here|More text to come.|Replace this with your own text.
+Metin buraya gelecek.|Buraya metin yazın.|Bu bölüme metin eklenecek.|Yazı daha sonra eklenecektir.|Örnek metin, değiştiriniz.|İçerik hazırlanıyor, lütfen doldurunuz.|Buraya başlık gelecek.
+Hier steht Ihr Text.|Bitte Text einfügen.|Hier Text einsetzen.|Platzhalter für einen Text.|Dies ist ein Blindtext.|Beispieltext, wird noch ersetzt.|Text folgt.
+Insérez votre texte ici.|Votre texte ici.|Texte à compléter.|Texte de remplissage provisoire.|À remplir.|Introduzca aquí el texto.|Su texto aquí.|Texto de relleno.|Texto pendiente.|Rellenar más tarde.
+Введите текст здесь.|Здесь должен быть текст.|Текст будет добавлен позже.|Пример текста, заменить.|Заполнить описание.|Inserire qui il testo.|Testo segnaposto.|Voer hier uw tekst in.|Voorbeeldtekst""".split("\n")
+ERROR = """404 Not Found|404 Page Not Found|Error 404|HTTP Error 404|500 Internal Server Error|HTTP ERROR 500|502 Bad Gateway nginx|503 Service Temporarily Unavailable|504 Gateway Timeout|403 Forbidden|400 Bad Request|401 Unauthorized|408 Request Timeout|429 Too Many Requests
+The requested URL was not found on this server.|We can't find the page you're looking for.|Sorry, this page isn't available.|The page may have been moved, renamed or deleted.|This page does not exist or is no longer available.|No results: the requested resource could not be found.|The link you followed may be broken.|Return to the home page.
+Something went wrong. Please try again later.|Oops, an error has occurred.|An unexpected error occurred.|The server encountered an internal error and was unable to complete your request.|The server encountered an unexpected condition that prevented it from fulfilling the request.|Your request could not be processed.|Error reference number: 12345|Request ID: 12345
+The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.|We are currently undergoing scheduled maintenance. Please check back in a few minutes.|Service is overloaded, please retry.|The site is temporarily unavailable.
+Access denied. You don't have permission to access this resource.|You are not authorized to view this page.|You do not have permission to view this directory.|Checking your browser before accessing the site.|Please verify you are a human by completing the captcha.|Our systems have detected unusual traffic from your network.|Prove that you are not a robot to proceed.|Rate limit exceeded, slow down your requests.|Ray ID: 12345
+Traceback (most recent call last): File "app.py", line 123|KeyError: 'id'|TypeError: cannot read property of undefined|Uncaught exception|Unhandled exception at System.Web.UI.Page.Load()|NullPointerException at com.example.Main.run(Main.java:123)|System.NullReferenceException: Object reference not set to an instance of an object|Fatal error: Call to undefined function in index.php on line 12|Warning: Undefined variable in page.php on line 12|Notice: Undefined index
+Error establishing a database connection|SQLSTATE[HY000] connection refused|could not connect to database server: connection timed out|MySQL server has gone away|Deadlock found when trying to get lock|ORA-12541: no listener|Connection refused|Connection timed out after 123 ms|upstream timed out
+{"error":{"code":404,"message":"Not Found"}}|{"status":500,"error":"Internal Server Error","path":"/api/12"}|{"message":"Forbidden"}
+Sayfa bulunamadı.|Hata 404: aradığınız sayfa mevcut değil.|Sunucuda bir hata oluştu. Lütfen daha sonra tekrar deneyiniz.|Beklenmeyen bir hata meydana geldi.|İsteğiniz işlenemedi. Hata kodu: 500|Bu sayfaya erişim izniniz yok.|Site bakımdadır, lütfen daha sonra tekrar deneyin.|Aradığınız sayfa silinmiş veya taşınmış olabilir.
+Seite nicht gefunden. Fehler 404|Die angeforderte Seite existiert nicht.|Die Seite konnte nicht gefunden werden.|Es ist ein Fehler aufgetreten. Bitte versuchen Sie es später noch einmal.|Interner Serverfehler|Zugriff verweigert.|Der Dienst ist vorübergehend nicht verfügbar.|Fehlercode 500
+Page introuvable. Erreur 404|La page demandée n'existe pas.|La page que vous recherchez est introuvable.|Une erreur s'est produite. Veuillez réessayer ultérieurement.|Erreur interne du serveur|Accès refusé.|Service indisponible.
+Página no encontrada. Error 404|La página solicitada no existe.|Lo sentimos, esta página ya no está disponible.|Se ha producido un error. Vuelva a intentarlo más tarde.|No se pudo completar la solicitud.|Error interno del servidor|Acceso denegado.
+Страница не найдена. Ошибка 404|Запрошенная страница не существует.|Страница была удалена или перемещена.|Произошла ошибка. Повторите попытку позже.|Внутренняя ошибка сервера|Доступ запрещён.|Сервис временно недоступен.|Вернуться на главную|Pagina non trovata. Errore 404.|Si è verificato un errore.|Pagina niet gevonden.|Er is een fout opgetreden.""".split("\n")
+SCRIPT = """You need to enable JavaScript to run this app.|Please enable JavaScript to view this page.|JavaScript is disabled in your browser.|JavaScript is required to use this site.|JavaScript must be enabled in order for you to see this content.|We're sorry but this site doesn't work properly without JavaScript enabled. Please enable it to continue.|It looks like scripts are turned off; the reviews could not be loaded.|Enable scripts and reload the page to see the calendar, map or form.|To use the booking form, allow scripts to run in your browser settings.|This application requires client side scripting to work.|Your browser does not support JavaScript!|Your browser is blocking scripts, so the comments cannot be displayed.|Please turn on JavaScript and try again.|Activate JS to load the widget
+<noscript>Please enable JavaScript</noscript>|<noscript>Your browser does not support scripts.</noscript>|<noscript>You need to enable JavaScript to run this app.</noscript>
+Bu sayfayı görüntülemek için lütfen JavaScript'i etkinleştirin.|Tarayıcınızda JavaScript devre dışı.|Bu site JavaScript olmadan çalışmaz.|Devam etmek için tarayıcı ayarlarından betiklere izin verin.|İçerik yüklenemedi: tarayıcınız betikleri engelliyor. Sayfayı yenileyip tekrar deneyin.|Formu kullanmak için JavaScript açık olmalıdır.
+Bitte aktivieren Sie JavaScript in Ihrem Browser.|JavaScript ist deaktiviert.|Diese Seite benötigt JavaScript.|Ohne JavaScript kann diese Seite nicht angezeigt werden.|Bitte erlauben Sie Skripte und laden Sie die Seite neu.|Zum Anzeigen der Bewertungen müssen Skripte eingeschaltet sein.
+Veuillez activer JavaScript dans votre navigateur.|JavaScript est désactivé.|Ce site a besoin de JavaScript pour fonctionner.|Sans scripts, cette page ne peut pas s'afficher. Merci de les autoriser.|JavaScript está desactivado.|Habilite JavaScript en su navegador.|Este sitio necesita JavaScript para funcionar.|Permita los scripts y vuelva a cargar la página.
+Включите JavaScript, чтобы просмотреть страницу.|JavaScript отключён в вашем браузере.|Сайт не работает без JavaScript.|Разрешите выполнение скриптов и обновите страницу.|Abilita JavaScript nel browser.|Schakel JavaScript in uw browser in.""".split("\n")
+FURNITURE = """Home | About | Contact|Home | Rooms | Spa | Contact|Back to top|Skip to content|Privacy policy|Terms of use|Loading...|Please wait...|All rights reserved|Accept all cookies|Manage cookies|Share | Print|Log in | Register|Menu|Search|Subscribe to our newsletter|Follow us|© 2026|Ref 1234
+Ana Sayfa | Odalar | İletişim|Anasayfa > Otel > Odalar|Her hakkı saklıdır|Çerez ayarları|Giriş yap|Yukarı çık|Startseite | Zimmer | Kontakt|Impressum Datenschutz|Zurück nach oben|Alle Rechte vorbehalten|Menü Zimmer Anfragen|Accueil | Chambres | Contact|Tous droits réservés|Inicio | Habitaciones | Contacto|Todos los derechos reservados|Главная | Номера | Контакты|Все права защищены""".split("\n")
 # The ways of writing a placeholder, @ standing for the field's name, and names of fields.
 MARKS = ["{{ @ }}", "{{@}}", "{@}", "[[@]]", "[@]", "<<@>>", "<%= @ %>", "%%@%%", "*|@|*", "${@}", "__@__", "#@#", "%@%", "<@>", "&lt;@&gt;", "@@@@"]
 FIELDS = "guest_name first_name FIRST_NAME REVIEW_DATE room_no check_in agent.signature hotelAdi misafir datum nom_client NAME HOTEL user.name booking_id city date".split()
@@ -118,26 +126,16 @@ class Models:
             top = CLASSES[int(np.bincount(kind[residue], minlength=4).argmax())] if residue.any() else None
             mark = None
             places = np.flatnonzero(sums[4][a:b] > LEVEL)
-            last = -1
-            for p in places:
-                if p < last:
-                    continue
-                x, y = max(0, p - 45), p + 45
-                last = p + 20
-                if m := EXACT.search(t, x, y):
+            # an exact pattern over each whole marked stretch, with room for a placeholder that begins before or ends after it
+            gaps = np.flatnonzero(np.diff(places) > MARK_LENGTH)
+            for x, y in zip(places[np.append(0, gaps + 1)], places[np.append(gaps, len(places) - 1)]) if len(places) else ():
+                if m := EXACT.search(t, max(0, int(x) - MARK_LENGTH), int(y) + MARK_LENGTH):
                     mark = m[0]
                     break
             out.append((share, top, mark))
         return out
 
 
-def sound(texts: list[str], models: Models | None) -> list[str]:
-    """The texts that count as natural prose: the longer ones, once there are models those with little residue."""
-    if models is None:
-        return [t for t in texts if len(t) > 250]
-    return [t for t, (share, _, _) in zip(texts, models.spans(texts)) if share < 0.3 and len(t) > 120] if texts else []
-
-
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of slices of bounded size."""
     i = 0
@@ -150,29 +148,43 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def prose_counts(docs: DataFrame, models: Models | None, text: str = "text") -> np.ndarray:
-    """4-gram counts of natural prose over all documents: at most 2 ** BITS rows a partition, and as many in all."""
+KINDS = CLASSES[:3]  # the kinds that documents can consist of
+
+
+def tally(texts: list[str], models: Models | None) -> np.ndarray:
+    """4-gram counts of natural prose (first row) and of the texts that the models take whole for one of KINDS."""
+    out = np.zeros((1 + len(KINDS), 1 << BITS))
+    rows = [0] * len(texts)
+    if models is not None:
+        rows = [0 if share < 0.3 else 1 + KINDS.index(kind) if share > COVERAGE and kind in KINDS else None for share, kind, _ in models.spans(texts)] if texts else []
+    for r in set(rows) - {None}:
+        out[r] += counted([t for t, k in zip(texts, rows) if k == r])
+    return out
+
+
+def corpus_counts(docs: DataFrame, models: Models | None, text: str = "text") -> np.ndarray:
+    """The tally of all documents: at most (1 + KINDS) * 2 ** BITS rows a partition, and as many in all."""
     ratios = models.ratios if models else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = None if ratios is None else Models(ratios)
-        total = np.zeros(1 << BITS)
+        total = np.zeros((1 + len(KINDS)) << BITS)
         for pdf in batches:
             texts = pdf[text].tolist()
             for i, j in slices(texts):
-                total += counted(sound(texts[i:j], m))
+                total += tally(texts[i:j], m).ravel()
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bin": at, "n": total[at].astype(np.int64)})
 
     rows = docs.select(text).where(F.length(text) > 0).mapInPandas(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS)
+    out = np.zeros((1 + len(KINDS)) << BITS)
     out[rows["bin"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return out
+    return out.reshape(1 + len(KINDS), -1)
 
 
-def fit(sample: list[str], prose: Callable[[Models | None], np.ndarray] | None = None) -> Models:
-    """Models from the phrases above, what they lead to in a bounded sample, and the prose counts (the sample's own by default)."""
-    prose = prose or (lambda models: counted(sound(sample, models)))
+def fit(sample: list[str], corpus: Callable[[Models | None], np.ndarray] | None = None) -> Models:
+    """Models from the phrases above and the tally of the corpus (of the sample by default), in three rounds."""
+    corpus = corpus or (lambda models: tally(sample, models))
     join = lambda lines: [x for line in lines for x in line.split("|")]
     marks = [m.replace("@", f, 1).replace("@", "") if m != "@@@@" else f"@@{f}@@" for m in MARKS for f in FIELDS]
     marks = [f"{a} {m}{b}" for m in marks for a, b in ((" ", " "), ("x", ","), ("", "."))]
@@ -180,21 +192,20 @@ def fit(sample: list[str], prose: Callable[[Models | None], np.ndarray] | None =
     seeds["error"] += [x.upper() for x in seeds["error"]]
     models = None
     for _ in range(3):
-        natural = prose(models)
+        natural, *found = corpus(models)
         base = natural + 0.2
         base /= base.sum()
         ratios = []
         for c in CLASSES:
             own = counted(seeds[c])
+            if c in KINDS:
+                more = found[KINDS.index(c)]
+                own = own + more * min(1.0, CORPUS_MASS / max(more.sum(), 1.0))
             r = own + 0.2 * base * (1 << BITS) / 10 + 0.02
             r /= r.sum()
             # a 4-gram that neither prose nor the kind has says nothing
             ratios.append(np.where((natural == 0) & (own == 0), 0, np.clip(np.log(r / base), -3, 3)))
         models = Models(np.array(ratios, np.float32))
-        # what the models take for residue whole joins its kind
-        found = models.spans(sample) if sample else []
-        for c in ("filler", "error", "script"):
-            seeds[c] = seeds[c][: len(seeds[c])] + [t for t, (share, kind, _) in zip(sample, found) if share > COVERAGE and kind == c and len(t) < 1500]
     return models
 
 
@@ -216,5 +227,4 @@ def classify(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Models:
-    sample = [r[0] for r in docs.select(text).where(F.length(text) > 0).limit(SAMPLE_ROWS).collect()]
-    return fit(sample, lambda models: prose_counts(docs, models, text))
+    return fit([], lambda models: corpus_counts(docs, models, text))

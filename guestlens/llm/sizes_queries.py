@@ -31,7 +31,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each plan and capacity are."""
     bins = p8_containers(spark, d).groupBy("plan", "container", "capacity").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
-    return bins.groupBy("plan", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"), (F.sum("used") / F.sum("capacity")).alias("fill"))
+    return bins.groupBy("plan", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"), (F.sum("used") / F.sum("capacity")).alias("fill"), F.sum(F.col("capacity") + F.col("capacity") * F.col("capacity") / packing.COST_LENGTH).alias("cost"))
 
 
 @query("p9_mixed")

@@ -362,6 +362,20 @@ def test_annotate_nulls_and_empty(spark):
 
 
 # ---- containers
+def test_joint_sizes_cost_less_than_each_size_alone():
+    r = random.Random(2)
+    sizes = [r.randint(10, 500) for _ in range(3000)] + [r.randint(600, 2000) for _ in range(300)] + [r.randint(2500, 8000) for _ in range(40)]
+
+    def total(capacities):
+        return sum(map(packing.cost, packing.pack(sizes, capacities)[1]))
+
+    pieces, caps = packing.pack(sizes, [512, 2048, 8192])
+    assert len(pieces) == len(sizes) and set(caps) == {512, 2048, 8192}  # nothing is split, every size is used
+    assert total([512, 2048, 8192]) < 0.85 * total([8192])
+    small = [s for s in sizes if s <= 2000]
+    assert sum(map(packing.cost, packing.pack(small, [512, 2048])[1])) < sum(map(packing.cost, packing.pack(small, [2048])[1]))
+
+
 def test_packing_never_splits_what_fits_and_fills_well():
     r = random.Random(2)
     sizes = [r.randint(1, 500) for _ in range(3000)] + [0, 1300, 5000]
@@ -394,6 +408,9 @@ def test_mix_shares_and_caps(spark):
     mix = mixing.mixed(d, t)
     s = {x.source: x for x in mixing.shares(mix, t).collect() if x.mix_name == "m"}
     assert abs(s["big"].actual_share - 0.6) < 0.01 and s["small"].most_copies <= 3 and s["big"].most_copies <= 2
+    part = spark.createDataFrame([("p", "big", 0.3, 2), ("p", "small", 0.2, 3), ("p", "absent", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    s = {x.source: x for x in mixing.shares(mixing.mixed(d, part), part).collect()}
+    assert s["absent"].actual_share == 0 and abs(s["big"].actual_share - 0.6) < 0.01 and abs(s["small"].actual_share - 0.4) < 0.01
     assert mix.where("mix_name = 'none'").count() == 0 and mix.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
 
 
@@ -406,23 +423,44 @@ def test_residue_and_traps():
     assert gone == [True, True, True, True, False, False, False, False]
 
 
-def test_prose_beyond_the_sample_is_known(spark, monkeypatch):
-    monkeypatch.setattr(residue, "SAMPLE_ROWS", 60)
+def test_prose_of_all_documents_is_known(spark):
     english = "The room was clean and the staff were friendly, we would come again next summer with the family. " * 4
     finnish = "Huone oli siisti ja henkilökunta ystävällistä, tulemme mielellämme uudestaan ensi kesänä koko perheen kanssa. " * 4
     texts = [english] * 80 + [finnish] * 40 + ["lorem ipsum dolor sit amet consectetur"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     m = residue.fitted(df)
-    direct = residue.counted([t for t in texts if len(t) > 250])
-    assert (residue.prose_counts(df, None) == direct).all()
+    direct = residue.counted(texts)
+    assert (residue.corpus_counts(df, None)[0] == direct).all()
     bins = np.unique(residue.grams(residue.symbols([finnish])[0]))
     bins = bins[direct[bins] > 0]
-    assert (m.ratios[residue.CLASSES.index("furniture")][bins] < 0).mean() > 0.9  # seen as prose, though not in the sample
-    unseen = np.flatnonzero((direct == 0) & (residue.counted([x for k in ("FILLER", "ERROR", "SCRIPT") for x in getattr(residue, k)]) == 0))
+    assert (m.ratios[residue.CLASSES.index("furniture")][bins] < 0).mean() > 0.9  # seen as prose
+    unseen = np.flatnonzero((direct == 0) & (residue.counted([x for k in ("FILLER", "ERROR", "SCRIPT", "FURNITURE") for x in getattr(residue, k)]) == 0))
     assert np.median(np.abs(m.ratios[:4, unseen])) == 0
     out = {r.doc_id: r.excluded for r in residue.classify(df, m).collect()}
     assert out[120] and not out[0] and not out[100]
 
 
+def test_a_placeholder_far_into_a_marked_stretch_and_residue_of_left_out_wording():
+    prose = ["The room was clean and the staff were friendly, we would come again next summer with the family. " * 4] * 60
+    m = residue.fit(prose)
+    (_, _, mark), *rest = m.spans(["Dear guest, " + "{{ " * 40 + "{{ guest_name }}, welcome back to our hotel and thank you.", "Gone: this page could not be located on the server (code 410).", "Scripts are switched off here; allow JavaScript to see the menu."])
+    assert mark == "{{ guest_name }}" and all(share >= residue.COVERAGE for share, _, _ in rest)
+
+
+def test_tokens_of_a_very_long_word_and_of_blanks():
+    for text in ("ab1 " * 7000 + "x" * 25_000 + " end", "word" + " " * 30_000 + "word", "a  b\n\n c " * 4000):
+        assert tokens.count(text) == len(tokens.encoding(tokens.RANKS).encode_ordinary(text))
+
+
+def test_damage_in_a_third_chunk_of_another_encoding():
+    chunks = ["Çok güzel bir oda ve şık bir salon gördük.", "Kahvaltıda çeşit çoktu, börek şahaneydi.", "Çocuklar için şirin bir bahçe vardı."]
+    garbled = " ".join([chunks[0].encode().decode("latin-1"), chunks[1].encode().decode("latin-1"), chunks[2].encode("cp1254").decode("cp1252")])
+    assert mojibake.repair(garbled)[0] == " ".join(chunks)
+    layered = chunks[0]
+    for _ in range(5):
+        layered = layered.encode().decode("latin-1")
+    assert mojibake.repair(layered)[0] == chunks[0]
+
+
 def test_tokens_of_long_text():
     assert tokens.count("a b " * 30_000) >= 60_000 and tokens.count("") == 0
