@@ -17,12 +17,16 @@ def term_weights(docs: DataFrame, key: str, words: Column) -> tuple[DataFrame, D
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w")), idf
 
 
-def cosine_top(weights: DataFrame, key: str, queries: DataFrame, query: str, k: int = 5, least: float = 0.001) -> DataFrame:
+def cosine_top(weights: DataFrame, key: str, queries: DataFrame, query: str, k: int = 5, least: float = 0.001, same_rows: bool = False) -> DataFrame:
     """The k documents of highest cosine per query, from rows (query, term, w) and (key, term, w); ties by key.
 
-    Only documents that share a term are touched; scores are summed before ranking.
+    Only documents that share a term are touched; scores are summed before ranking. With `same_rows` queries are documents
+    too, and none is compared with itself.
     """
-    s = queries.select(query, "term", F.col("w").alias("wq")).join(weights, "term").groupBy(query, key).agg(F.sum(F.col("w") * F.col("wq")).alias("score")).where(F.col("score") >= least)
+    hits = queries.select(query, "term", F.col("w").alias("wq")).join(weights, "term")
+    if same_rows:
+        hits = hits.where(F.col(query) != F.col(key))
+    s = hits.groupBy(query, key).agg(F.round(F.sum(F.col("w") * F.col("wq")), 9).alias("score")).where(F.col("score") >= least)
     return s.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 

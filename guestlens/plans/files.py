@@ -77,27 +77,6 @@ def src_paste_blocks(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(readers.paste_blocks(F.col("text"))).alias("blocks"))
 
 
-@query("src_html_jsonld", "SELECT id, comment, rating FROM platform_reviews WHERE review_text IS NOT NULL AND FALSE UNION ALL SELECT id, review_text, CAST(rating AS DOUBLE) FROM platform_reviews WHERE regexp_matches(review_text, '^[A-Za-z ,.]+$')".replace("SELECT id, comment, rating FROM platform_reviews WHERE review_text IS NOT NULL AND FALSE UNION ALL SELECT id, review_text,", "SELECT id, review_text AS comment,").replace("CAST(rating AS DOUBLE)", "CAST(rating AS DOUBLE) AS rating"))
-def src_html_jsonld(spark, d):
-    p = table(spark, d, "platform_reviews").where(F.col("review_text").rlike("^[A-Za-z ,.]+$"))
-    body = F.to_json(F.struct(F.array(F.struct(F.col("review_text").alias("reviewBody"), F.struct(F.col("rating").cast("string").alias("ratingValue")).alias("reviewRating"))).alias("review")))
-    pages = p.select("id", F.concat(F.lit('<html><head><script type="application/ld+json">'), body, F.lit("</script></head></html>")).alias("html"))
-    return readers.json_ld_reviews(pages, "id", "html")
-
-
-@query("src_yaml_rules", "SELECT rule, weight FROM (VALUES ('carpet', 2.0), ('pool', 3.5), ('wifi', 1.0)) t(rule, weight)")
-def src_yaml_rules(spark, d):
-    core, extra, protected = {"carpet": 2.0, "pool": 1.0}, {"pool": 3.5, "wifi": 1.0, "carpet": 9.0}, ("carpet",)
-    kept = F.map_filter(F.create_map(*[F.lit(x) for kv in extra.items() for x in kv]), lambda k, v: ~k.isin(*protected))
-    base = F.map_filter(F.create_map(*[F.lit(x) for kv in core.items() for x in kv]), lambda k, v: ~F.map_contains_key(kept, k))
-    return spark.range(1).select(F.explode(F.map_concat(base, kept)).alias("rule", "weight"))
-
-
-@query("map_merge_protected", "SELECT rule, weight FROM (VALUES ('carpet', 2.0), ('pool', 3.5), ('wifi', 1.0)) t(rule, weight)")
-def map_merge_protected(spark, d):
-    return src_yaml_rules(spark, d)
-
-
 HALF = "CAST(substr(md5(id), 1, 1) AS VARCHAR) < '8'"
 
 

@@ -332,12 +332,6 @@ def agg_ngram_mining(spark, d):
     return c.withColumn("r", F.row_number().over(W.partitionBy("department").orderBy(F.desc("n"), "gram"))).where("r <= 5").drop("r")
 
 
-@query("agg_nightly_metrics", ONLY + " SELECT round_even(100.0 * count(*) FILTER (lower(aspect) IN ('standard', 'general', 'other')) / count(*), 2) AS generic_ratio, round_even(count(*) / count(DISTINCT review_id), 3) AS clauses_per_review FROM cl")
-def agg_nightly_metrics(spark, d):
-    per = domain.clauses(spark, d).groupBy("review_id").agg(F.count("*").alias("n"), F.count_if(F.lower("aspect").isin(*domain.GENERIC_LABELS)).alias("g"))
-    return per.agg(F.bround(100.0 * F.sum("g") / F.sum("n"), 2).alias("generic_ratio"), F.bround(F.sum("n") / F.count("*"), 3).alias("clauses_per_review"))
-
-
 @query("agg_gold_tiers", "WITH t AS (SELECT CASE WHEN rating IN (1, 5) THEN 'A' WHEN rating IN (2, 4) THEN 'B' ELSE 'C' END AS tier, coalesce(source, '?') AS source, coalesce(language, '?') AS language FROM reviews) SELECT tier, source, language, count(*) AS n FROM t GROUP BY GROUPING SETS ((tier), (tier, source), (tier, language))")
 def agg_gold_tiers(spark, d):
     t = table(spark, d, "reviews").select(F.when(F.col("rating").isin(1, 5), "A").when(F.col("rating").isin(2, 4), "B").otherwise("C").alias("tier"), F.coalesce("source", F.lit("?")).alias("source"), F.coalesce("language", F.lit("?")).alias("language"))
@@ -385,13 +379,6 @@ def set_distinct(spark, d):
     return table(spark, d, "scraped_reviews").select(F.lower("platform").alias("platform")).distinct()
 
 
-@query("set_dedupe_hash", "SELECT hash, row_id FROM (SELECT substr(sha256(lower(trim(comment))), 1, 16) AS hash, row_id, row_number() OVER (PARTITION BY substr(sha256(lower(trim(comment))), 1, 16) ORDER BY row_id) AS rn FROM scraped_reviews WHERE comment <> '' AND regexp_matches(comment, '^[\\x20-\\x7e]*$')) WHERE rn = 1")
-def set_dedupe_hash(spark, d):
-    s = table(spark, d, "scraped_reviews").where(F.col("comment").rlike(r"^[\x20-\x7e]+$"))  # the two engines fold the case of other letters differently
-    s = s.select("row_id", F.substring(F.sha2(F.lower(F.trim("comment")), 256), 1, 16).alias("hash"))
-    return s.groupBy("hash").agg(F.min("row_id").alias("row_id"))
-
-
 @query("set_dedupe_hash_all")
 def set_dedupe_hash_all(spark, d):
     """set_dedupe_hash over every comment; without SQL, as the engines fold the case of letters outside ASCII differently."""
@@ -400,18 +387,6 @@ def set_dedupe_hash_all(spark, d):
     return s.groupBy("hash").agg(F.min("row_id").alias("row_id"))
 
 
-@query("set_dedupe_prefix", "SELECT min(row_id) AS row_id FROM scraped_reviews WHERE trim(substr(comment, 1, 300)) <> '' GROUP BY trim(substr(comment, 1, 300))")
-def set_dedupe_prefix(spark, d):
-    k = F.trim(F.substring("comment", 1, 300))
-    return table(spark, d, "scraped_reviews").where(k != "").groupBy(k.alias("k")).agg(F.min("row_id").alias("row_id")).select("row_id")
-
-
-@query("set_dedupe_prefix200_anti", "SELECT row_id FROM scraped_reviews s WHERE batch_no > 0 AND comment <> '' AND NOT EXISTS (SELECT 1 FROM scraped_reviews h WHERE h.batch_no = 0 AND substr(h.comment, 1, 200) = substr(s.comment, 1, 200))")
-def set_dedupe_prefix200_anti(spark, d):
-    s = table(spark, d, "scraped_reviews").select("row_id", "batch_no", "comment", F.substring("comment", 1, 200).alias("k"))
-    return s.where("batch_no > 0 AND comment <> ''").join(s.where("batch_no = 0").select("k").distinct(), "k", "left_anti").select("row_id")
-
-
 @query("set_dedupe_id", "SELECT min(row_id) AS row_id FROM scraped_reviews WHERE rating BETWEEN 1 AND 5 AND comment <> '' GROUP BY review_id")
 def set_dedupe_id(spark, d):
     s = table(spark, d, "scraped_reviews").where("rating BETWEEN 1 AND 5 AND comment <> ''")

@@ -16,12 +16,6 @@ def weights(spark, d):
     return rt.term_weights(table(spark, d, "part"), "p_partkey", words)
 
 
-@query("ret_tfidf_index", f"WITH {WORDS} SELECT term, count(*) AS documents, round_even(sum(w), 4) AS total FROM tw GROUP BY 1")
-def ret_tfidf_index(spark, d):
-    w, _ = weights(spark, d)
-    return w.groupBy("term").agg(F.count("*").alias("documents"), F.bround(F.sum("w"), 4).alias("total"))
-
-
 @query("ret_cosine_topk", f"WITH {WORDS}, q AS (SELECT p_partkey AS q, term, w AS wq FROM tw WHERE p_partkey % 50 = 0), s AS (SELECT q, p_partkey, sum(w * wq) AS score FROM q JOIN tw USING (term) WHERE q <> p_partkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, p_partkey) AS rank FROM s) SELECT q, p_partkey, CAST(rank AS INT) AS rank, round_even(score, 6) AS score FROM r WHERE rank <= 5")
 def ret_cosine_topk(spark, d):
     """Queries are the rows whose id is divisible by 50, against all rows."""
@@ -42,26 +36,3 @@ def ret_vector_ip(spark, d):
     return rt.nearest(e, q, "vec_id", "q", "embedding", 3).select("q", "vec_id", "rank", F.bround("score", 6).alias("score"))
 
 
-@query("ret_nearest_failure", "WITH pr AS (SELECT * FROM (VALUES ('wifi', 'the wifi dropped'), ('carpet', 'carpet was stained'), ('lift', 'lift to floor')) t(label, text)), g AS (SELECT label, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS g FROM pr), c AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS h FROM part) SELECT p_partkey, label, round_even(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS jaccard FROM c, g WHERE len(list_intersect(g, h)) > 0")
-def ret_nearest_failure(spark, d):
-    from guestlens.functions.text import char_ngrams
-    from guestlens.operators.relational import set_jaccard
-
-    prototypes = {"wifi": "the wifi dropped", "carpet": "carpet was stained", "lift": "lift to floor"}
-    grams = {k: list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for k, t in prototypes.items()}
-    h = table(spark, d, "part").select("p_partkey", char_ngrams(F.col("p_name")).alias("h"))
-    # few prototypes: an array in the plan, not a join
-    each = F.array(*[F.struct(F.lit(k).alias("label"), F.bround(set_jaccard(F.array(*map(F.lit, g)), F.col("h")), 6).alias("jaccard")) for k, g in grams.items()])
-    return h.select("p_partkey", F.explode(each).alias("x")).select("p_partkey", "x.label", "x.jaccard").where("jaccard > 0")
-
-
-@query("ret_index_append", f"WITH {WORDS} SELECT count(*) AS terms, count(DISTINCT p_partkey) AS documents FROM tw")
-def ret_index_append(spark, d):
-    w, _ = weights(spark, d)
-    return w.groupBy("p_partkey").agg(F.count("*").alias("c")).agg(F.sum("c").alias("terms"), F.count("*").alias("documents"))
-
-
-@query("gen_summary_simple", "SELECT doc_id, CASE WHEN contains(text, 'wifi') THEN 'wifi' WHEN contains(text, 'carpet') THEN 'carpet' ELSE 'general' END || ': ' || substr(trim(text), 1, 80) AS summary FROM documents WHERE lang = 'en'")
-def gen_summary_simple(spark, d):
-    t = F.when(F.contains(F.col("text"), F.lit("wifi")), "wifi").when(F.contains(F.col("text"), F.lit("carpet")), "carpet").otherwise("general")
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.concat(t, F.lit(": "), F.substring(F.trim("text"), 1, 80)).alias("summary"))

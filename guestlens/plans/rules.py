@@ -45,11 +45,6 @@ def q_users(spark, d):
     return u.where(F.col("n") == u.agg(F.min("n")).first()[0]).select("id")
 
 
-@query("q_complaint_trend_answer", ONLY + " SELECT year(clause_date) AS year, count(*) AS complaints FROM cl WHERE sentiment = 'Negative' GROUP BY 1".replace("year(clause_date)", "CAST(year(clause_date) AS INT)"))
-def q_complaint_trend_answer(spark, d):
-    return domain.clauses(spark, d).where("sentiment = 'Negative'").groupBy(F.year("clause_date").alias("year")).agg(F.count("*").alias("complaints"))
-
-
 @query("q_test_detail", "SELECT r.id, string_agg(e.id, ',' ORDER BY e.id) AS children FROM reviews r JOIN entity_comments e ON e.review_id = r.id GROUP BY 1")
 def q_test_detail(spark, d):
     e = table(spark, d, "entity_comments").where("review_id IS NOT NULL").groupBy(F.col("review_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("children"))
@@ -85,12 +80,6 @@ def jn_pairwise_similarity(spark, d):
     return sim.links(table(spark, d, "reviews"), "id", "comment").select("id", "class_id", "n_links")
 
 
-@query("set_dedupe_fuzzy")
-def set_dedupe_fuzzy(spark, d):
-    """The comments kept: those that are the first of their copies and similar to no earlier comment."""
-    return sim.links(table(spark, d, "entity_comments"), "id", "comment").where("id = class_id AND first_link = id").select("id")
-
-
 @query("ml_train_sentiment")
 def ml_train_sentiment(spark, d):
     """Held-out confusion counts of a logistic regression on hashed words; ratings 1, 2, 4, 5 give the labels."""

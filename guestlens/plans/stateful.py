@@ -245,12 +245,6 @@ def agg_process_health(spark, d):
     return p.groupBy("department").agg(F.bround(F.avg("pct"), 0).alias("overall"), F.when(F.avg("pct") >= 70, "healthy").when(F.avg("pct") >= 40, "warning").otherwise("critical").alias("status"), F.min_by("aspect", F.struct("pct", "aspect")).alias("worst"))
 
 
-@query("agg_evidence_by_dept", ONLY + " SELECT department, count(*) AS n, count(DISTINCT review_id) AS reviews FROM cl WHERE sentiment = 'Negative' AND priority >= 2 GROUP BY 1")
-def agg_evidence_by_dept(spark, d):
-    per = domain.clauses(spark, d).where("sentiment = 'Negative' AND priority >= 2").groupBy("department", "review_id").agg(F.count("*").alias("c"))
-    return per.groupBy("department").agg(F.sum("c").alias("n"), F.count("*").alias("reviews"))
-
-
 @query("q_entity_report", "SELECT entity_id, count(*) AS comments, count(*) FILTER (NOT is_resolution) AS open_reports, count(*) FILTER (is_resolution) AS resolutions, min(created_at) AS first_at, max(created_at) AS last_at FROM entity_comments GROUP BY 1")
 def q_entity_report(spark, d):
     return table(spark, d, "entity_comments").groupBy("entity_id").agg(F.count("*").alias("comments"), F.count_if(~F.col("is_resolution")).alias("open_reports"), F.count_if(F.col("is_resolution")).alias("resolutions"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
@@ -287,11 +281,6 @@ def q_accuracy_tracking(spark, d):
     return table(spark, d, "absa_corrections").groupBy(F.substring("created_at", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.bround(100.0 * F.count_if(F.col("action") == "approved") / F.count("*"), 1).alias("accuracy"))
 
 
-@query("q_actions_by_review", ONLY + " SELECT review_id, count(*) AS actions FROM cl WHERE sentiment = 'Negative' GROUP BY 1")
-def q_actions_by_review(spark, d):
-    return domain.clauses(spark, d).where("sentiment = 'Negative'").groupBy("review_id").agg(F.count("*").alias("actions"))
-
-
 @query("q_categories", "SELECT DISTINCT p_type AS category, p_brand AS department FROM part")
 def q_categories(spark, d):
     return table(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_brand").alias("department")).distinct()

@@ -41,12 +41,6 @@ def txt_fold(spark, d):
     return table(spark, d, "entity_comments").select("id", tx.fold(F.col("comment")).alias("folded"))
 
 
-@query("txt_tokenize", "SELECT review_id, clause_index, string_agg(w, ',' ORDER BY p) AS tokens FROM (SELECT l_orderkey AS review_id, l_linenumber AS clause_index, l_partkey, l_suppkey, l_extendedprice, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS p FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE w NOT IN ('hot', 'red') GROUP BY review_id, clause_index, l_partkey, l_suppkey, l_extendedprice")
-def txt_tokenize(spark, d):
-    t = tx.tokens(F.col("text"), stop=("hot", "red"))
-    return domain.clauses(spark, d).select("review_id", "clause_index", F.array_join(t, ",").alias("tokens")).where("tokens <> ''")
-
-
 @query("txt_ngrams", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT string_split(p_name, ' ') AS w FROM part)) GROUP BY 1")
 def txt_ngrams(spark, d):
     return table(spark, d, "part").select(F.explode(tx.word_ngrams(F.split("p_name", " "), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
@@ -134,14 +128,6 @@ def cls_quality_band(spark, d):
     return table(spark, d, "scraped_reviews").where("rating IS NOT NULL").groupBy(b.alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("txt_keywords", D + "w AS (SELECT review_id, unnest(string_split(text, ' ')) AS word FROM cl), s AS (SELECT review_id, word, count(*) + CASE WHEN word IN ('hot', 'cold') THEN 5 WHEN word IN ('green', 'blue') THEN 3 ELSE 0 END AS score FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, word) AS rn FROM s) SELECT review_id, string_agg(word, ',' ORDER BY rn) AS keywords FROM r WHERE rn <= 3 GROUP BY 1")
-def txt_keywords(spark, d):
-    w = domain.clauses(spark, d).select("review_id", F.explode(F.split("text", " ")).alias("word")).groupBy("review_id", "word").agg(F.count("*").alias("n"))
-    bonus = F.when(F.col("word").isin("hot", "cold"), 5).when(F.col("word").isin("green", "blue"), 3).otherwise(0)
-    g = w.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct((-(F.col("n") + bonus)).alias("s"), "word"))).alias("k"))
-    return g.select("review_id", F.array_join(F.transform(F.slice("k", 1, 3), lambda x: x["word"]), ",").alias("keywords"))
-
-
 @query("prj_truncate_ellipsis", "SELECT doc_id, CASE WHEN length(trim(text)) > 160 THEN substr(trim(text), 1, 159) || '…' ELSE trim(text) END AS preview, CAST(length(trim(text)) > 160 AS INT) AS is_truncated FROM documents")
 def prj_truncate_ellipsis(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.ellipsis(F.col("text"), 160).alias("preview"), (F.length(F.trim("text")) > 160).cast("int").alias("is_truncated"))
@@ -220,13 +206,6 @@ def dt_parse_iso(spark, d):
     return table(spark, d, "entity_comments").select("id", F.unix_micros(F.try_to_timestamp(F.regexp_replace("created_at", "Z$", "+00:00"))).alias("micros"))
 
 
-@query("dt_relative_range", "SELECT record, CAST(regexp_extract(record, '([0-9]+)', 1) AS INT) * 604800 AS lo_seconds, CASE WHEN CAST(regexp_extract(record, '([0-9]+)', 1) AS INT) = 4 THEN 2592000 ELSE (CAST(regexp_extract(record, '([0-9]+)', 1) AS INT) + 1) * 604800 END AS hi_seconds FROM (SELECT DISTINCT date_text AS record FROM scraped_reviews WHERE regexp_matches(date_text, '^[0-9]+ weeks ago$'))")
-def dt_relative_range(spark, d):
-    n = F.regexp_extract("record", "([0-9]+)", 1).cast("int")
-    r = table(spark, d, "scraped_reviews").where(F.col("date_text").rlike("^[0-9]+ weeks ago$")).select(F.col("date_text").alias("record")).distinct()
-    return r.select("record", (n * 604800).alias("lo_seconds"), F.when(n == 4, 2592000).otherwise((n + 1) * 604800).alias("hi_seconds"))
-
-
 @query("mth_backoff", "SELECT user_id, least(60, 3 * pow(2, n)) AS seconds FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY 1)")
 def mth_backoff(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"))
