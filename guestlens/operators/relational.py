@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from guestlens.session import cut_lineage
+
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list) -> DataFrame:
     """One row per key: the first in the (total) order. A partial aggregation, so a hot key is never sorted in one task."""
@@ -59,7 +61,8 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    # checkpointed: range bounds are sampled, and both uses must see the same partitions, also after a lost executor
+    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("c"))
     offsets = counts.withColumn("__off", F.sum("c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).select("__p", F.coalesce("__off", F.lit(0)).alias("__off"))
     local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1

@@ -15,12 +15,16 @@ IN_WINDOW = f"review_date BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"
 BUCKET = "CASE WHEN n IS NULL THEN NULL WHEN s / (n * 5.0) > 0.15 THEN 'Positive' WHEN s / (n * 5.0) < -0.15 THEN 'Negative' ELSE 'Neutral' END"
 
 
+def in_window(reviews):
+    return db.optional(reviews, dates=db.between_dates("review_date", START, END))
+
+
 def windowed(spark, d):
-    return db.optional(domain.reviews(spark, d), dates=db.between_dates("review_date", START, END))
+    return in_window(domain.reviews(spark, d))
 
 
 def windowed_clauses(spark, d):
-    return domain.clauses(spark, d).join(windowed(spark, d), "review_id")
+    return db.of_reviews(domain.clauses(spark, d), in_window(domain.review_rows(spark, d)))
 
 
 STATS = f"""st AS (SELECT aspect, department, count(*) AS total, count(*) FILTER (sentiment = 'Negative') AS negative, count(*) FILTER (sentiment = 'Negative' AND priority = 3) AS critical,
@@ -48,16 +52,15 @@ def agg_topic_fold(spark, d):
     return db.complaint_topics(db.aspect_stats(windowed_clauses(spark, d)))
 
 
-DAILY = f"""dy AS (SELECT CAST((review_date AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE) AS day, count(*) AS reviews, CAST(sum(rating) AS BIGINT) AS rating_sum,
+# DuckDB has no time zone rules here; all dates are midnights, which stay on their day anywhere east of UTC (tests hold the zone rule)
+DAILY = f"""dy AS (SELECT CAST(review_date + INTERVAL 2 HOUR AS DATE) AS day, count(*) AS reviews, CAST(sum(rating) AS BIGINT) AS rating_sum,
   count(*) FILTER (b = 'Positive') AS positive, count(*) FILTER (b = 'Negative') AS negative, count(*) FILTER (b = 'Neutral') AS neutral, count(*) FILTER (b IS NULL) AS unanalysed
   FROM (SELECT rv.*, {BUCKET} AS b FROM rv LEFT JOIN av USING (review_id) WHERE {IN_WINDOW}) GROUP BY 1)"""
-# without the time zone extension the same shift as a fixed rule: all dates are midnights, which stay on their day east of UTC
-DAILY = DAILY.replace("CAST((review_date AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE)", "CAST(review_date + INTERVAL 2 HOUR AS DATE)")
 
 
 @query("agg_daily_review_stats", D + DAILY + " SELECT * FROM dy")
 def agg_daily_review_stats(spark, d):
-    return db.daily_stats(windowed(spark, d), domain.clauses(spark, d))
+    return db.daily_stats(in_window(domain.review_rows(spark, d)), domain.scored_clauses(spark, d))
 
 
 DENSE = DAILY + """, dn AS (SELECT CAST(g.day AS DATE) AS day, coalesce(reviews, 0) AS reviews, coalesce(rating_sum, 0) AS rating_sum, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, coalesce(neutral, 0) AS neutral, coalesce(unanalysed, 0) AS unanalysed
@@ -94,7 +97,7 @@ def win_period_stats(spark, d):
     round_even(100.0 * count(*) FILTER (b = 'Negative') / count(*), 1) AS negative_ratio, count(n) AS analysed_reviews FROM x""",
 )
 def agg_summary_kpi(spark, d):
-    return db.kpi(domain.reviews(spark, d), domain.clauses(spark, d))
+    return db.kpi(domain.review_rows(spark, d), domain.scored_clauses(spark, d))
 
 
 CATEGORY = """SELECT aspect AS category, count(*) AS total, count(*) FILTER (sentiment = 'Negative') AS negative, round_even(100.0 * count(*) FILTER (sentiment = 'Negative') / count(*), 1) AS ratio,
@@ -126,9 +129,9 @@ def flt_date_range(spark, d):
 
 @query("flt_default_window", D.rstrip().rstrip(",") + " SELECT review_id FROM rv, (SELECT max(review_date) AS m FROM rv) WHERE review_date BETWEEN m - INTERVAL 30 DAY AND m")
 def flt_default_window(spark, d):
-    r = domain.reviews(spark, d)
-    last = r.agg(F.max("review_date")).first()[0]  # "now" is the newest review
-    return r.where(F.col("review_date").between(F.lit(last) - F.expr("INTERVAL 30 DAYS"), F.lit(last))).select("review_id")
+    r = domain.review_rows(spark, d)
+    last = F.broadcast(r.agg(F.max("review_date").alias("last")))  # "now" is the newest review: one row
+    return r.join(last, F.col("review_date").between(F.col("last") - F.expr("INTERVAL 30 DAYS"), F.col("last"))).select("review_id")
 
 
 @query("flt_optional", D.rstrip().rstrip(",") + " SELECT review_id FROM rv WHERE source = 'O' AND rating >= 4")

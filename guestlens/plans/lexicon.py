@@ -337,7 +337,7 @@ def srt_topk_similarity(spark, d):
     path = scratch_path(spark, "index")
     index(spark, d).write.parquet(path)
     w = spark.read.parquet(path)
-    return rt.cosine_top(w, "p_partkey", w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "term", "w"), "q", k=5, least=0.001, same_rows=True).select("q", "p_partkey", "rank", F.bround("score", 6).alias("score"))
+    return rt.cosine_nearest(w, w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "term", "w"), "p_partkey", "q", 5).where("score >= 0.001").select("q", "p_partkey", "rank", F.bround("score", 6).alias("score"))
 
 
 DIM = 384

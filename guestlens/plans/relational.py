@@ -200,8 +200,7 @@ def q_lang_dist(spark, d):
 @query("agg_user_stats", "WITH a AS (SELECT DISTINCT * FROM review_assignments), m AS (SELECT min(user_id) AS u FROM a) SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'pending') AS pending, round_even(100.0 * count(*) FILTER (status = 'completed') / count(*), 1) AS pct FROM a, m WHERE user_id = u")
 def agg_user_stats(spark, d):
     a = table(spark, d, "review_assignments").distinct()
-    one = a.agg(F.min("user_id")).first()[0]
-    return a.where(F.col("user_id") == one).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "pending").alias("pending"), F.bround(100.0 * F.count_if(F.col("status") == "completed") / F.count("*"), 1).alias("pct"))
+    return a.join(F.broadcast(a.agg(F.min("user_id").alias("user_id"))), "user_id", "left_semi").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "pending").alias("pending"), F.bround(100.0 * F.count_if(F.col("status") == "completed") / F.count("*"), 1).alias("pct"))
 
 
 @query("agg_multi_table_count", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("reviews", "platform_reviews", "users", "hotels")))
@@ -262,7 +261,8 @@ def agg_satisfaction_breakdown(spark, d):
 @query("agg_two_window", D + "m AS (SELECT max(clause_date) AS e FROM cl), w AS (SELECT department, count(*) FILTER (clause_date > e - INTERVAL 60 DAY AND sentiment = 'Negative') AS r, count(*) FILTER (clause_date <= e - INTERVAL 60 DAY AND clause_date > e - INTERVAL 120 DAY AND sentiment = 'Negative') AS p FROM cl, m GROUP BY 1) SELECT department, r AS recent, p AS prior, CASE WHEN p = 0 AND r > 0 THEN 100.0 WHEN p = 0 THEN 0.0 ELSE round_even(100.0 * (r - p) / p, 1) END AS change, CASE WHEN r > p THEN 'up' WHEN r < p THEN 'down' ELSE 'flat' END AS direction FROM w")
 def agg_two_window(spark, d, days=60):
     c = domain.clauses(spark, d)
-    end = F.lit(c.agg(F.max("clause_date")).first()[0])
+    c = c.join(F.broadcast(c.agg(F.max("clause_date").alias("end"))))  # one row
+    end = F.col("end")
     neg, mid, low = F.col("sentiment") == "Negative", end - F.expr(f"INTERVAL {days} DAYS"), end - F.expr(f"INTERVAL {2 * days} DAYS")
     w = c.groupBy("department").agg(F.count_if(neg & (F.col("clause_date") > mid)).alias("recent"), F.count_if(neg & (F.col("clause_date") <= mid) & (F.col("clause_date") > low)).alias("prior"))
     r, p = F.col("recent"), F.col("prior")
@@ -435,9 +435,9 @@ def src_table_scan(spark, d):
 @query("src_point_lookup", "WITH o AS (SELECT min(review_id) AS id FROM entity_comments WHERE review_id IS NOT NULL) SELECT r.id, r.rating, count(e.id) AS comments FROM reviews r JOIN o ON r.id = o.id LEFT JOIN entity_comments e ON e.review_id = r.id GROUP BY 1, 2")
 def src_point_lookup(spark, d):
     e = table(spark, d, "entity_comments")
-    one = e.agg(F.min("review_id")).first()[0]
-    kids = e.where(F.col("review_id") == one).groupBy("review_id").agg(F.count("id").alias("comments"))
-    return table(spark, d, "reviews").where(F.col("id") == one).join(kids, F.col("id") == F.col("review_id"), "left").select("id", "rating", F.coalesce("comments", F.lit(0)).alias("comments"))
+    one = F.broadcast(e.agg(F.min("review_id").alias("review_id")))
+    kids = e.join(one, "review_id", "left_semi").groupBy("review_id").agg(F.count("id").alias("comments"))
+    return table(spark, d, "reviews").join(one.withColumnRenamed("review_id", "id"), "id", "left_semi").join(kids, F.col("id") == F.col("review_id"), "left").select("id", "rating", F.coalesce("comments", F.lit(0)).alias("comments"))
 
 
 @query("flt_known_role", "SELECT id FROM users WHERE role IN ('reviewer', 'admin')")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from guestlens.operators import retrieval as rt
 from guestlens.registry import query
+from guestlens.session import scratch_path
 from guestlens.sources.tables import table
 
 WORDS = "w AS (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS term FROM part), tf AS (SELECT p_partkey, term, count(*) AS tf FROM w GROUP BY 1, 2), idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM part)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1), raw AS (SELECT p_partkey, term, tf * idf AS w FROM tf JOIN idf USING (term)), tw AS (SELECT p_partkey, term, w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)) AS w FROM raw)"
@@ -19,12 +20,10 @@ def weights(spark, d):
 @query("ret_cosine_topk", f"WITH {WORDS}, q AS (SELECT p_partkey AS q, term, w AS wq FROM tw WHERE p_partkey % 50 = 0), s AS (SELECT q, p_partkey, sum(w * wq) AS score FROM q JOIN tw USING (term) WHERE q <> p_partkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, p_partkey) AS rank FROM s) SELECT q, p_partkey, CAST(rank AS INT) AS rank, round_even(score, 6) AS score FROM r WHERE rank <= 5")
 def ret_cosine_topk(spark, d):
     """Queries are the rows whose id is divisible by 50, against all rows."""
-    w, _ = weights(spark, d)
-    q = w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "term", "w")
-    s = q.withColumnRenamed("w", "wq").join(w, "term").where("q <> p_partkey").groupBy("q", "p_partkey").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
-    from pyspark.sql import Window as W
-
-    r = s.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "p_partkey"))).where("rank <= 5")
+    path = scratch_path(spark, "weights")
+    weights(spark, d)[0].write.parquet(path)  # read for the queries and for the rows
+    w = spark.read.parquet(path)
+    r = rt.cosine_nearest(w, w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "term", "w"), "p_partkey", "q", 5)
     return r.select("q", "p_partkey", "rank", F.bround("score", 6).alias("score"))
 
 

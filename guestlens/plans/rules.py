@@ -42,7 +42,7 @@ def dt_sched_date(spark, d):
 @query("q_users", "SELECT id FROM users WHERE lower(trim(username)) = (SELECT min(lower(trim(username))) FROM users)")
 def q_users(spark, d):
     u = table(spark, d, "users").withColumn("n", F.lower(F.trim("username")))
-    return u.where(F.col("n") == u.agg(F.min("n")).first()[0]).select("id")
+    return u.join(F.broadcast(u.agg(F.min("n").alias("n"))), "n", "left_semi").select("id")
 
 
 @query("q_test_detail", "SELECT r.id, string_agg(e.id, ',' ORDER BY e.id) AS children FROM reviews r JOIN entity_comments e ON e.review_id = r.id GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Clause segmentation, rule ladders over clauses, and the file adapters."""
+"""Lookups of facts, cases and incidents."""
 
 from __future__ import annotations
 
@@ -52,4 +52,4 @@ def q_incident_open(spark, d):
 @query("q_feedback_by_aof", "SELECT id FROM absa_corrections WHERE review_id = (SELECT min(review_id) FROM absa_corrections) ORDER BY created_at DESC, id")
 def q_feedback_by_aof(spark, d):
     c = table(spark, d, "absa_corrections")
-    return c.where(F.col("review_id") == c.agg(F.min("review_id")).first()[0]).orderBy(F.desc("created_at"), "id").select("id")
+    return c.join(F.broadcast(c.agg(F.min("review_id").alias("review_id"))), "review_id", "left_semi").orderBy(F.desc("created_at"), "id").select("id")

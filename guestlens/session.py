@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "guestlens-shared")
         spark.conf.set(CHECKPOINT_CONF, d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -47,7 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/guestlens-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/guestlens-{name}-{uuid.uuid4().hex[:12]}"
+    SCRATCH.append(path)
+    return path
+
+
+SCRATCH: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this process; call it once the results that read them are written or collected."""
+    while SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

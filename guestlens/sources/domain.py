@@ -16,6 +16,11 @@ PRIORITIES = {3: "Critical", 2: "High", 1: "Medium", 0: "Info"}
 POSITIVE, NEGATIVE = 0.15, -0.15  # review bucket thresholds on the mean clause score
 
 
+def review_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews without their hotel: no join. Every review has a guest (foreign key), so these are the same rows."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.col("o_orderdate").alias("review_date"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("rating"), F.col("o_orderstatus").alias("source"))
+
+
 def reviews(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -23,6 +28,11 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def scored_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """review_id and score5 of the clauses, without their category: no join. Every clause has a category (foreign key)."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), (5 - F.round(F.col("l_discount") * 100).cast("int")).alias("score5"))
+
+
 def clauses(spark: SparkSession, d: str) -> DataFrame:
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     s5 = 5 - F.round(F.col("l_discount") * 100).cast("int")

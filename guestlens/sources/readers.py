@@ -40,6 +40,11 @@ def first_line(spark: SparkSession, path: str) -> str:
     return row[0].replace(BOM, "") if row else ""
 
 
+def quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes: only then must files be read whole, else they are split."""
+    return bool(spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count())
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text under normalised header names; quotes and line breaks inside fields are kept."""
     head = first_line(spark, path)
@@ -48,7 +53,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     if not names:
         return spark.createDataFrame([], "comment string")
     schema = ", ".join(f"`{n or f'c{i}'}` string" for i, n in enumerate(names))
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", quotes_span_lines(spark, path)).option("escape", '"').option("enforceSchema", True).csv(path)
 
 
 def with_aliases(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

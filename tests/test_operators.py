@@ -202,3 +202,31 @@ def test_queries_can_be_listed_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_nearest_rows_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from guestlens.operators import retrieval as rt
+
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 3)  # several blocks
+    r = np.random.default_rng(2)
+    v = r.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id long, vec array<double>").repartition(5)
+    got = {(x.q, x.rank): x.id for x in rt.nearest(df, df.where("id % 7 = 0").select(F.col("id").alias("q"), "vec"), "id", "q", "vec", 3).collect()}
+    expected = {}
+    for q in range(0, 60, 7):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-float(v[q] @ v[i]), i))
+        expected |= {(q, k + 1): order[k] for k in range(3)}
+    assert got == expected
+
+    terms = [(i, f"t{j}", float(w)) for i, row in enumerate(r.integers(0, 3, (40, 6))) for j, w in enumerate(row) if w] + [(i, "hot", 1.0) for i in range(40)]
+    w = spark.createDataFrame(terms, "id long, term string, w double").repartition(4)
+    out = {(x.q, x.rank): x.id for x in rt.cosine_nearest(w, w.where("id % 9 = 0").withColumnRenamed("id", "q"), "id", "q", 4).collect()}
+    rows = {}
+    for i, t, x in terms:
+        rows.setdefault(i, {})[t] = x
+    for q in range(0, 40, 9):
+        order = sorted((i for i in rows if i != q), key=lambda i: (-sum(x * rows[q].get(t, 0) for t, x in rows[i].items()), i))
+        assert [out[q, k + 1] for k in range(4)] == order[:4]
+    assert rt.nearest(df, df.limit(0).select(F.col("id").alias("q"), "vec"), "id", "q", "vec", 3).count() == 0
