@@ -43,14 +43,14 @@ def merged(parts: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return top.select(query, F.posexplode("b").alias("rank", "x")).select(query, (F.col("rank") + 1).alias("rank"), F.col(f"x.{key}").alias(key), (-F.col("x.n")).alias("score"))
 
 
-def blocks(queries: DataFrame, query: str) -> Iterator[list[Row]]:
-    """The stated queries in blocks of about QUERY_BLOCK, one on the driver at a time."""
-    n = -(-queries.count() // QUERY_BLOCK)
+def blocks(queries: DataFrame, query: str, size: int | None = None) -> Iterator[list[Row]]:
+    """The stated queries in blocks of about `size`, one on the driver at a time."""
+    n = -(-queries.count() // (size or QUERY_BLOCK))
     for i in range(n):
         yield queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == i).collect()
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """Exact top-k by inner product of stated queries against all vectors, themselves left out.
 
     A block of queries goes out as a matrix; each task multiplies its Arrow batches with it and hands on its k best per
@@ -58,7 +58,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector
     """
     schema = f"{query} bigint, {key} bigint, score double"
     out = None
-    for rows in blocks(queries.where(F.col(vector).isNotNull()).select(query, vector), query):
+    for rows in blocks(queries.where(F.col(vector).isNotNull()).select(query, vector), query, block):
         ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
