@@ -1,11 +1,11 @@
 """Filling containers of permitted capacities by variable-capacity best fit.
 
-A container of capacity c costs c + c * c / COST_LENGTH: room, and the work over a sequence that grows with its square. Of
-several permitted capacities those are opened that make the whole arrangement cheap. Items are spread over groups of bounded
-size by a hash, and each group is packed on its own: best fit in order of falling size; where nothing fits, the capacity is
-opened that costs least per token it may still expect; at the end every container is downsized to the smallest permitted
-capacity that holds its contents. A group of GROUP_ITEMS items leaves a handful of containers partly empty, which is all that
-packing in groups costs.
+A container of capacity c costs c + c * c / COST_LENGTH: room, and the work over a sequence that grows with its square. Items
+are spread over groups of bounded size by a hash, and each group is packed on its own: best fit in order of falling size;
+where nothing fits, the capacity is opened that costs least per token it may expect; at the end every container is downsized
+to the smallest permitted capacity that holds its contents. How much of a container stays unused isn't known before, so the
+group is packed with each capacity as the one to prefer and by the expected cost, and the arrangement of the least total cost
+counts. A group of GROUP_ITEMS items leaves a handful of containers partly empty, which is all that packing in groups costs.
 """
 
 from __future__ import annotations
@@ -17,19 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ITEMS = 20_000
-COST_LENGTH = 16_384  # capacity at which the work over a sequence costs as much as its room
+COST_LENGTH = 262_144  # capacity at which the work over a sequence costs as much as its room
 
 
 def cost(capacity: int) -> float:
     return capacity + capacity * capacity / COST_LENGTH
 
 
-def pack(sizes: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """(item, first token, tokens, container) for each piece, and the containers' capacities.
+Packing = tuple[list[tuple[int, int, int, int]], list[int]]
+
+
+def pack(sizes: list[int], capacities: list[int]) -> Packing:
+    """The cheapest arrangement found: (item, first token, tokens, container) for each piece, and the containers' capacities.
 
     Only an item larger than the largest capacity is split, into full pieces and a rest. Empty items have no place.
     """
-    caps = sorted(capacities)
+    caps = sorted(set(capacities))
+    tries = [arranged(sizes, caps, p) for p in ([None, *caps] if len(caps) > 1 else [None])]
+    return min(tries, key=lambda t: sum(map(cost, t[1])))
+
+
+def arranged(sizes: list[int], caps: list[int], preferred: int | None) -> Packing:
+    """Best fit that opens the preferred capacity where it holds the item, else the least that does; by expected cost without one."""
     largest = caps[-1]
     pieces = []
     for i, n in enumerate(sizes):
@@ -64,8 +73,8 @@ def pack(sizes: list[int], capacities: list[int]) -> tuple[list[tuple[int, int,
                 room.pop(k)
         else:
             # contents a capacity may expect: at most what remains, and half a smallest item stays free
-            fits = [c for c in caps if c >= size]
-            c = min(fits, key=lambda c: (cost(c) / max(size, min(left, c - min(c - size, smallest / 2))), c))
+            fits = [c for c in caps if c >= max(size, preferred or 0)] or [c for c in caps if c >= size]
+            c = fits[0] if preferred else min(fits, key=lambda c: (cost(c) / max(size, min(left, c - min(c - size, smallest / 2))), c))
             b = len(free)
             free.append(c)
             used.append(0)
