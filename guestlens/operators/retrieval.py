@@ -47,7 +47,8 @@ def blocks(queries: DataFrame, query: str, size: int | None = None) -> Iterator[
     """The stated queries in blocks of about `size`, one on the driver at a time."""
     n = -(-queries.count() // (size or QUERY_BLOCK))
     for i in range(n):
-        yield queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == i).collect()
+        if rows := queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == i).collect():
+            yield rows
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, block: int | None = None) -> DataFrame:
