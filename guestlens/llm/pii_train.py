@@ -9,16 +9,16 @@ from guestlens.llm import pii
 
 GIVEN = "Alda Borek Cemre Dilan Ediz Feray Gonca Halide Irmak Jale Koray Lale Mert Nazan Orkun Pelin Rıza Sevda Tarık Ümit Vedat Yasin Zafer Oliver Amelia George Isla Arthur Mia Hans Greta Klaus Ingrid Pierre Claire Lucien Odile Diego Carmen Pablo Elena Иван Мария Пётр Анна Сергей Дарья".split()
 FAMILY = "Korkmazer Yıldızlı Demirtepe Gündoğar Akçaova Ashworth Penrose Hollins Fairley Brandtner Winkelhof Oberhauser Duvallon Mercier Lambrey Oteruelo Sandoval Quiroga Соколовский Зорин Мельников Лавров".split()
-PEOPLE = ["Barmen {} Bey'e teşekkürler.", "Resepsiyondaki {} Hanım ilgilendi.", "Özellikle {} bize yardım etti.", "Odamızı temizleyen {} güler yüzlüydü.", "Our waiter {} was great.", "The manager, {}, never answered.", "Special thanks to {} at reception.", "{} from the front desk helped us.", "Frau {} half uns.", "Unser Kellner {} war nett.", "Besonderer Dank an {} vom Empfang.", "Un grand merci à {} de la réception.", "Mme {} nous a aidés.", "Notre serveur {} était gentil.", "El camarero {} fue amable.", "La señora {} nos ayudó.", "Gracias a {} de la recepción.", "Администратор {} помог нам.", "Наш официант {} был вежлив.", "Отдельное спасибо сотруднице {} со стойки."]
+PEOPLE = ["Barmen {} Bey'e selam olsun.", "Resepsiyondaki {} Hanım sabırla dinledi.", "Özellikle {} elinden geleni yaptı.", "Odamızı temizleyen {} çok titizdi.", "Garson {} siparişi karıştırmadı.", "Waiter {} knew our table.", "The manager {} wrote back to us.", "A big thank you to {} for the tour.", "{} from housekeeping was quick.", "{} helped with the bags.", "Frau {} war sehr geduldig.", "Kellner {} brachte alles sofort.", "Herr {} vom Service half gleich.", "Besonders {} von der Bar blieb in Erinnerung.", "Merci à {} pour sa patience.", "Mme {} a tout arrangé.", "Serveur {} toujours souriant.", "Camarero {} siempre atento.", "La señora {} lo resolvió enseguida.", "Agradecemos a {} de recepción su ayuda.", "Администратор {} решила вопрос.", "Официант {} быстро принёс заказ.", "Спасибо {} за помощь с вещами."]
 PHONES = ["+90 599 {3} {2} {2}", "0{3}{7}", "0090{10}", "+90.599.{3}.{4}", "0(599) {3}-{2}-{2}", "0 599 {7}", "+44 20 7946 {4}", "020 7946 {4}", "+1 646-555-{4}", "(212) 555-{4}", "312.555.{4}", "+49 (0)30 {5}-{3}", "030/{8}", "030 {5} {3}", "0049 30 {8}", "06 {2} {2} {2} {2}", "+33 6 {2} {2} {2} {2}", "+34 6{2} {3} {3}", "6{2} {2} {2} {2}", "+7 (495) {3}-{2}-{2}", "+7495{7}", "8 495 {3} {2} {2}", "٠٥٩٩ ٢٧٠ ٦٣٢٧", "0599 {3} {4}"]
-PHONE_SAYS = ["Tel {}", "Tel.: {}", "Beni {} numarasından arayın.", "WhatsApp {} yazın.", "Cevap için {} hattındayım.", "Bir gelişme olursa {} üzerinden haber verin.", "Call me on {} please.", "My number is {} if you find it.", "Nobody rang back on {} today.", "Sie erreichen mich unter {} am Abend.", "Appelez-moi au {} le soir.", "Mi teléfono es {} para dudas.", "Звоните по номеру {} вечером.", "{}"]
+PHONE_SAYS = ["Tel {}", "Tel: {}", "Telefon: {}", "Lütfen {} numarasını arayın dedim.", "WhatsApp numaram {} açık.", "Akşam {} hattından ulaşabilirsiniz.", "Sorun çıkarsa {} üzerinden yazın.", "Please phone {} after six.", "Reach me on {} tomorrow.", "The number I left was {} for updates.", "Rufen Sie {} an.", "Handy: {}", "Mein Telefon ist {} tagsüber.", "Mon portable est le {} le matin.", "Appelez le {} demain.", "Llámame al {} por la tarde.", "Móvil: {}", "Мой телефон {} всегда включён.", "Позвоните на {} утром.", "{}"]
 IDS = ["TCK", "TCK3", "S {8}", "U{8}", "U {8}", "{3}-{2}-{4}", "QQ {2} {2} {2} C", "X{8}", "{4} {6}", "{2} {2} {6}", "{8}G", "X-{7}-Z", "{2} {6} {1}", "C{2}X{2}", "L{1}X{6}", "L{1}Z{6}", "C{1}FK{2}T{2}", "L{2}X{2}T{2}", "L{1}X {3} {3}"]
-ID_SAYS = ["TC no: {}", "Girişte kimlik numaram {} okundu.", "Kayıtta {} olarak geçen belgem yanlış.", "Pasaport no {} kopyalandı.", "Passport {} was copied.", "My national insurance number {} was on the form.", "Ausweis {} wurde falsch notiert.", "Mon numéro de passeport {} était visible.", "Leyeron mi documento {} en voz alta.", "Мой паспорт {} лежал на виду.", "My passport {} lay open.", "Meine Ausweisnummer {} lag offen.", "Pass-Nr. {} wurde falsch notiert.", "The screen had {} as my passport number.", "They read out {} as my insurance number."]
-CODE_SAYS = ["Voucher {} was refused.", "Our booking code was {}.", "Rezervasyon kodumuz {} idi.", "Voucher {} kabul edilmedi.", "Unsere Buchung {} war weg.", "Gutschein Nr. {} galt nicht.", "Notre réservation {} a disparu.", "La reserva {} no aparecía.", "Бронь {} не нашли.", "Fişte {d} yazıyordu.", "Booking reference {} was missing.", "Fatura no {} yanlıştı."]
+ID_SAYS = ["TC: {}", "TC kimlik {} yazılıydı.", "Kimlik no {} herkesin önünde söylendi.", "Belge numaram {} ekranda kaldı.", "Pasaport {} masada duruyordu.", "Passport no. {} stayed on the desk.", "Passport number: {}", "My insurance number {} was visible to all.", "Identity card {} was scanned twice.", "Personalausweis {} lag am Tresen.", "Reisepassnummer {} stand auf dem Zettel.", "Passnummer: {}", "Passeport n° {} photocopié sans demander.", "Ma pièce d'identité {} est restée là.", "Pasaporte {} fotografiado en la entrada.", "DNI {} a la vista de todos.", "Паспорт {} сфотографировали.", "ИНН {} записали в журнал."]
+CODE_SAYS = ["The voucher {} did not work.", "Booking {} had another date.", "Reference {} was unknown to them.", "Order {} never came.", "Rezervasyon no {} bulunamadı.", "Kupon kodu {} geçmedi.", "Fatura {} yanlış kesildi.", "Fiş tarihi {d} idi.", "Buchungsnummer {} war falsch.", "Gutschein {} wurde nicht genommen.", "Rechnung {} stimmte nicht.", "Le bon {} n'était plus valable.", "Réservation {} introuvable.", "El bono {} no servía.", "Factura {} con errores.", "Ваучер {} не приняли.", "Номер брони {} потеряли."]
 CODES = ["{6}", "{8}", "{9}", "{11}", "{5}", "{10}", "K{1}R{2}X", "{2}HB{4}", "R{1}X{6}", "QT{2}-Z{3}"]
-ADDRESS_SAYS = ["Adresim: {}", "Kaybolan eşyamı {} adresine kargolayın.", "Oturduğumuz yer {}, oradan geldik.", "Ev adresimiz {} olduğu halde yanlış gitti.", "Eksik valizi {} kapısına bırakın.", "My address is {}.", "Please post the jacket to {} soon.", "It went to the wrong place although we live at {}.", "Meine Anschrift: {}", "Schicken Sie die Jacke bitte an {} nach.", "Merci d'envoyer mon sac à cette adresse : {}", "Mi dirección es {}.", "Отправьте куртку по адресу {} пожалуйста."]
+ADDRESS_SAYS = ["Adres: {}", "Adresimiz {} olarak kayıtlı.", "Paketi {} adresine gönderin lütfen.", "Şu adrese bekliyorum: {}", "Address: {}", "We live at {}, please note.", "Send the forgotten coat to {} if found.", "The parcel should go to {} instead.", "Ich wohne {} und warte.", "Adresse: {}", "Bitte senden Sie den Koffer an {} zurück.", "J'habite {} depuis dix ans.", "Mon adresse : {}", "Vivo en {} y espero.", "Dirección: {}", "Мой адрес {} указан в анкете.", "Пришлите сумку на адрес {} почтой."]
 STREETS = ["{S} Mah. {S} Sok. No: {n} D: {n}, {C}", "{S} Caddesi No:{n} Kat {n} {C}", "{S} mah. {S} cad. no {n} {C}", "{S} Mah. 1043. Sok. No: {n} D: {n}, {C}", "{S} mahallesi {3}. sokak {n}/{n} {C}", "{S} Mah. {3}. Sok. {n}/{n}, {C}", "{S} Mahallesi {S} Caddesi {n} {C}", "{S} Caddesi {n}/{n} {C}", "{n} {S} Road, Flat {n}, {C}", "{n} {S} Lane, Apt {n}, {C}", "{n} {S} Street, {C}", "{S}straße {n}a, {5} {C}", "{S}weg {n}, {5} {C}", "{S}allee {n} in {5} {C}", "{n} avenue {S}, {5} {C}", "{n} rue {S}, {5} {C}", "Calle {S} {n}, {5} {C}", "улица {R} {n}-{n}, Казань", "ул. {R}, д. {n}, кв. {n}, Омск"]
-PLAIN = ["The waiters at {S} bar remembered our drinks.", "{S} barındaki garsonlar içkilerimizi hatırladı.", "Das Restaurant {S} servierte köstliche Suppen.", "The kids club organised a treasure hunt near {S} garden.", "{n} numaralı oda rutubet kokuyordu.", "We paid {n} euros extra.", "{S} iskelesindeki şezlonglar kapılmıştı.", "Gül Bahçesi restoranında {n} numaralı masadaydık.", "The Rose Garden seats {n} people.", "Otel {S} Caddesi {n} dakika uzakta.", "{S} sokak {n} metre ileride.", "Room type XL{n}00 was small.", "Flight TK{n}23 was late.", "Вечернее шоу на сцене {S} понравилось детям.", "Les serveurs du bar {S} se souvenaient.", "El restaurante {S} servía un plato buenísimo.", "Lobiden plaja yürümek {n} dakika sürdü.", "Nisan ayında {n} lira ödedik.", "Please look at www.{s}.example first.", "Follow us @{s}_{n} for news.", "Der Kinderklub veranstaltete eine Suche im Garten {S}.", "In short: towels were changed every {n} days."]
+PLAIN = ["Staff of {S} bar kept smiling.", "{S} barı geceleri gürültülüydü.", "Im Restaurant {S} gab es Fisch.", "We walked to {S} garden twice.", "{n} numaralı oda karanlıktı.", "It cost {n} euros more.", "{S} iskelesi uzaktı.", "Gül Bahçesi adlı restoranda masa {n} kirliydi.", "The Rose Garden closes at {n}.", "Otel {S} Caddesi üzerinde, denize {n} dakika.", "{S} sokak tarafı {n} metre sürüyor.", "Suite XL{n}00 faced the road.", "Our plane TK{n}23 landed early.", "На сцене {S} играли каждый вечер.", "Au bar {S} la musique était forte.", "En el restaurante {S} faltaba personal.", "Asansörü {n} dakika bekledik.", "Otopark {n} lira tuttu.", "See www.{s}.example for pictures.", "Tag us with @{s}_{n} online.", "Im Garten {S} war es schattig.", "All in all {n} days were enough.", "Room {n} smelled of paint.", "Zimmer {n} hatte keinen Balkon."]
 
 
 def composed(seed: int = 11, n: int = 1500) -> tuple[list, pii.Gazetteer]:
