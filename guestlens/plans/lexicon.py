@@ -11,6 +11,7 @@ from guestlens.operators import opinions as op
 from guestlens.operators import retrieval as rt
 from guestlens.operators import similarity as sim
 from guestlens.plans.opinions import cues_sql, lit, values
+from guestlens.plans.rules import similarity_sql
 from guestlens.registry import query
 from guestlens.rulesets import hotel
 from guestlens.session import scratch_path
@@ -183,11 +184,12 @@ def set_dedupe_prefix200_anti(spark, d):
     return s.where("batch_no > 0 AND comment <> ''").join(s.where("batch_no = 0").select("k").distinct(), "k", "left_anti").select("row_id")
 
 
-@query("set_dedupe_fuzzy")
+@query("set_dedupe_fuzzy", f"""WITH {similarity_sql("(SELECT * FROM scraped_reviews WHERE comment <> '')", 'row_id')}, v AS (SELECT cl.rep, max(coalesce(helpful_count, 0)) AS votes, arg_min(row_id, struct_pack(a := -coalesce(helpful_count, 0), b := row_id)) AS best FROM cl JOIN scraped_reviews s ON s.row_id = cl.id GROUP BY 1),
+    lo AS (SELECT CASE WHEN x.votes > y.votes OR x.votes = y.votes AND x.best < y.best THEN y.rep ELSE x.rep END AS rep FROM pr JOIN v x ON x.rep = a JOIN v y ON y.rep = b) SELECT best AS row_id FROM v WHERE rep NOT IN (SELECT rep FROM lo)""")
 def set_dedupe_fuzzy(spark, d):
     """Comments kept: of each class of copies and of each pair of similar classes the one of more helpful votes, earlier rows on ties.
 
-    A class goes where a similar one of higher standing exists. Without SQL; tests hold it to brute force.
+    A class goes where a similar one of higher standing exists.
     """
     s = table(spark, d, "scraped_reviews").where("comment <> ''").select("row_id", "comment", F.coalesce("helpful_count", F.lit(0)).alias("votes"))
     path = scratch_path(spark, "shingles")

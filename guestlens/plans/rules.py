@@ -74,7 +74,13 @@ def snk_report_md(spark, d):
     return g.select(F.format_string("| %s | %d |", "status", "n").alias("line"))
 
 
-@query("jn_pairwise_similarity")
+def similarity_sql(source: str, key: str) -> str:
+    """Classes of equal words (cl: rep, key), their shingle sets (sh) and the pairs of Jaccard 0.8 and more (pr: a < b), by brute force over shared shingles."""
+    return f"""wd AS (SELECT {key} AS id, list_filter(string_split_regex(lower(comment), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {source} WHERE comment IS NOT NULL), dc AS (SELECT id, array_to_string(w, ' ') AS t, w FROM wd WHERE len(w) > 0), cl AS (SELECT id, t, min(id) OVER (PARTITION BY t) AS rep FROM dc),
+    sh AS (SELECT id AS rep, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dc WHERE id IN (SELECT rep FROM cl)), ex AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sh), sg AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM ex a JOIN ex b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), pr AS (SELECT a, b FROM sg WHERE c >= 0.8 * (na + nb - c))"""
+
+
+@query("jn_pairwise_similarity", f"WITH {similarity_sql('reviews', 'id')}, l AS (SELECT a AS rep, b AS o FROM pr UNION ALL SELECT b, a FROM pr), n AS (SELECT rep, count(*) AS n FROM l GROUP BY 1) SELECT cl.id, cl.rep AS class_id, coalesce(n, 0) AS n_links FROM cl LEFT JOIN n USING (rep)")
 def jn_pairwise_similarity(spark, d):
     """One row per review: its class of exact copies and how many other classes are similar (Jaccard of five-word shingles at least 0.8)."""
     return sim.links(table(spark, d, "reviews"), "id", "comment").select("id", "class_id", "n_links")
