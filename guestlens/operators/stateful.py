@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from guestlens.operators import ordered
+
 
 def claim(jobs: DataFrame, n: int) -> DataFrame:
     """The n oldest pending jobs, as processing."""
@@ -40,13 +42,12 @@ def issue_states(events: DataFrame, keys: list[str], at: str, kind: Column) -> D
 
 def ring(events: DataFrame, session: str, at: list[str], n: int = 10) -> DataFrame:
     """The last n events of each session, newest first."""
-    return events.withColumn("slot", F.row_number().over(W.partitionBy(session).orderBy(*[F.desc(c) for c in at]))).where(F.col("slot") <= n)
+    return ordered.positions(events, [session], at).withColumn("slot", (F.col("total") - F.col("n") + 1).cast("int")).where(F.col("slot") <= n).drop("n", "total")
 
 
 def carried(events: DataFrame, session: str, at: list[str], value: Column, name: str) -> DataFrame:
     """The latest earlier non-NULL value within the session."""
-    w = W.partitionBy(session).orderBy(*at).rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return ordered.carried(events, [session], at, value, name)
 
 
 def key_trend(days: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from guestlens.operators import relational as rel
+from guestlens.operators import ordered as od
 from guestlens.operators import stateful as st
 from guestlens.registry import query
 from guestlens.sources import domain
@@ -94,8 +95,7 @@ FLAGS = "SELECT event_id, n, CAST(n >= 2 AS INT) AS is_repeated, CAST(n >= 5 AS
 
 @query("win_running_count", FLAGS)
 def win_running_count(spark, d):
-    n = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).cast("bigint")
-    e = events(spark, d).where("event_type = 'error'").select("event_id", n.alias("n"))
+    e = od.positions(events(spark, d).where("event_type = 'error'").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"])
     return e.select("event_id", "n", (F.col("n") >= 2).cast("int").alias("is_repeated"), (F.col("n") >= 5).cast("int").alias("is_chronic"), F.when(F.col("n") >= 3, "rising").when(F.col("n") == 1, "new").otherwise("stable").alias("trend"))
 
 
@@ -106,7 +106,7 @@ def st_repeat_flags(spark, d):
 
 @query("win_adjacent_merge", "WITH f AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_event FROM i GROUP BY 1, 2")
 def win_adjacent_merge(spark, d):
-    i = rel.islands(events(spark, d), ["user_id"], ["ts", "event_id"], ["event_type"])
+    i = od.islands(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], ["event_type"])
     return i.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -207,8 +207,7 @@ def st_session_ring(spark, d):
 
 @query("st_count_trigger", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 5 = 0")
 def st_count_trigger(spark, d):
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events(spark, d).select("event_id", n.alias("n")).where("n % 5 = 0").select("event_id")
+    return od.positions(events(spark, d).select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"]).where("n % 5 = 0").select("event_id")
 
 
 @query("st_rate_limit", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")

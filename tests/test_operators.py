@@ -230,3 +230,30 @@ def test_nearest_rows_against_brute_force(spark, monkeypatch):
         order = sorted((i for i in rows if i != q), key=lambda i: (-sum(x * rows[q].get(t, 0) for t, x in rows[i].items()), i))
         assert [out[q, k + 1] for k in range(4)] == order[:4]
     assert rt.nearest(df, df.limit(0).select(F.col("id").alias("q"), "vec"), "id", "q", "vec", 3).count() == 0
+
+
+def test_order_within_keys_over_many_stretches(spark):
+    import random
+
+    from guestlens.operators import ordered as od
+
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), i // 3, i, r.choice(["x", "y", None])) for i in range(400)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t int, i int, v string").repartition(6)
+    keys, order = ["k"], ["t", "i"]
+    by_key = {}
+    for k, t, i, v in sorted(rows, key=lambda x: (x[1], x[2])):
+        by_key.setdefault(k, []).append((i, v))
+    n, carried, island = {}, {}, {}
+    for k, xs in by_key.items():
+        last, run, before = None, 0, object()
+        for j, (i, v) in enumerate(xs):
+            n[i], carried[i] = (j + 1, len(xs)), last
+            last = v if v is not None else last
+            run += v != before
+            island[i], before = run, v
+    assert {x.i: (x.n, x.total) for x in od.positions(df, keys, order).collect()} == n
+    assert {x.i: x.c for x in od.carried(df, keys, order, F.col("v"), "c").collect()} == carried
+    assert {x.i: x.island for x in od.islands(df, keys, order, ["v"]).collect()} == island
+    assert od.positions(df.limit(0), keys, order).count() == 0
