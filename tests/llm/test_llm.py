@@ -464,3 +464,24 @@ def test_damage_in_a_third_chunk_of_another_encoding():
 
 def test_tokens_of_long_text():
     assert tokens.count("a b " * 30_000) >= 60_000 and tokens.count("") == 0
+
+
+# ---- the queries' columns
+COLUMNS = {
+    "p1_found": "row_id_a bigint, row_id_b bigint",
+    "p2_found": "review_id string, field_name string, label string",
+    "p3_found": "table_name string, record_key string, field_name string, utc_micros bigint",
+    "p4_found": "table_name string, record_key string, field_name string, pii_kind string, start_pos bigint",
+    "p5_found": "review_id string, start_pos bigint",
+    "p6_found": "table_name string, record_key string, start_pos bigint, lang string",
+    "p7_found": "table_name string, record_key string, field_name string",
+    "p10_found": "doc_id bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_found_queries_have_exactly_the_stated_columns(spark, name):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) == COLUMNS[name]
