@@ -170,19 +170,34 @@ class Profiles:
         return rows[codes]
 
     def by_word(self, t: Text) -> np.ndarray:
-        """Per word and language the sum of its n-grams' comparisons."""
-        n, out = len(t.begin), np.zeros((len(t.begin), len(LANGS)), np.float32)
+        """Per word and language the sum of its n-grams' comparisons; words that occur again are reckoned once."""
+        n = len(t.begin)
         if self.scores.shape[1] > MEMORY:
             self.index, self.scores = pd.Index(np.zeros(0, np.uint64)), self.scores[:, :0]
+        if not n:
+            return np.zeros((0, len(LANGS)), np.float32)
+        ids, word, _ = t.orders[0]  # every word has three-letter grams with its edges, which name it
+        with np.errstate(over="ignore"):
+            h = ids * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            names = np.add.reduceat(h ^ (h >> np.uint64(32)), np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])))
+        codes, distinct = pd.factorize(names)
+        new = np.ones(n, bool)
+        new[1:] = codes[1:] > np.maximum.accumulate(codes)[:-1]  # codes are given in the order of appearance
+        out = np.zeros((len(distinct), len(LANGS)), np.float32)
         # orders over the same letters are added before the sums per word
         groups: list[list[tuple[np.ndarray, np.ndarray, float]]] = []
-        for order in t.orders:
-            if groups and groups[-1][0][1] is order[1]:
-                groups[-1].append(order)
-            elif len(order[0]):
-                groups.append([order])
+        source = None
+        for ids, word, weight in t.orders:
+            if groups and source is word:
+                groups[-1].append((ids[kept], groups[-1][0][1], weight))
+            elif len(ids):
+                source, kept = word, new[word]
+                groups.append([(ids[kept], codes[word[kept]], weight)])
         for group in groups:
             word = group[0][1]
+            if not len(word):
+                continue
             looked_up = [(self.compare(ids), np.float32(w)) for ids, _, w in group]
             firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             at = word[firsts]
@@ -191,7 +206,7 @@ class Profiles:
                 for rows, w in looked_up[1:]:
                     values += column[rows] * w
                 out[at, i] += np.add.reduceat(values, firsts)
-        return out
+        return out[codes]
 
 
 def fit(texts: list[str], labels: list[str]) -> Profiles:

@@ -18,7 +18,7 @@ CODE_SAYS = ["The voucher {} did not work.", "Booking {} had another date.", "Re
 CODES = ["{6}", "{8}", "{9}", "{11}", "{5}", "{10}", "K{1}R{2}X", "{2}HB{4}", "R{1}X{6}", "QT{2}-Z{3}"]
 ADDRESS_SAYS = ["Adres: {}", "Adresimiz {} olarak kayıtlı.", "Paketi {} adresine gönderin lütfen.", "Şu adrese bekliyorum: {}", "Address: {}", "We live at {}, please note.", "Send the forgotten coat to {} if found.", "The parcel should go to {} instead.", "Ich wohne {} und warte.", "Adresse: {}", "Bitte senden Sie den Koffer an {} zurück.", "J'habite {} depuis dix ans.", "Mon adresse : {}", "Vivo en {} y espero.", "Dirección: {}", "Мой адрес {} указан в анкете.", "Пришлите сумку на адрес {} почтой."]
 STREETS = ["{S} Mah. {S} Sok. No: {n} D: {n}, {C}", "{S} Caddesi No:{n} Kat {n} {C}", "{S} mah. {S} cad. no {n} {C}", "{S} Mah. 1043. Sok. No: {n} D: {n}, {C}", "{S} mahallesi {3}. sokak {n}/{n} {C}", "{S} Mah. {3}. Sok. {n}/{n}, {C}", "{S} Mahallesi {S} Caddesi {n} {C}", "{S} Caddesi {n}/{n} {C}", "{n} {S} Road, Flat {n}, {C}", "{n} {S} Lane, Apt {n}, {C}", "{n} {S} Street, {C}", "{S}straße {n}a, {5} {C}", "{S}weg {n}, {5} {C}", "{S}allee {n} in {5} {C}", "{n} avenue {S}, {5} {C}", "{n} rue {S}, {5} {C}", "Calle {S} {n}, {5} {C}", "улица {R} {n}-{n}, Казань", "ул. {R}, д. {n}, кв. {n}, Омск"]
-PLAIN = ["Staff of {S} bar kept smiling.", "{S} barı geceleri gürültülüydü.", "Im Restaurant {S} gab es Fisch.", "We walked to {S} garden twice.", "{n} numaralı oda karanlıktı.", "It cost {n} euros more.", "{S} iskelesi uzaktı.", "Gül Bahçesi adlı restoranda masa {n} kirliydi.", "The Rose Garden closes at {n}.", "Otel {S} Caddesi üzerinde, denize {n} dakika.", "{S} sokak tarafı {n} metre sürüyor.", "Suite XL{n}00 faced the road.", "Our plane TK{n}23 landed early.", "На сцене {S} играли каждый вечер.", "Au bar {S} la musique était forte.", "En el restaurante {S} faltaba personal.", "Asansörü {n} dakika bekledik.", "Otopark {n} lira tuttu.", "See www.{s}.example for pictures.", "Tag us with @{s}_{n} online.", "Im Garten {S} war es schattig.", "All in all {n} days were enough.", "Room {n} smelled of paint.", "Zimmer {n} hatte keinen Balkon."]
+PLAIN = ["{S} Caddesi {n} dakika mesafede kaldı.", "Durak {S} Caddesi {n} adım ötede.", "{S} sokak {n} dakika yürüyüş.", "Staff of {S} bar kept smiling.", "{S} barı geceleri gürültülüydü.", "Im Restaurant {S} gab es Fisch.", "We walked to {S} garden twice.", "{n} numaralı oda karanlıktı.", "It cost {n} euros more.", "{S} iskelesi uzaktı.", "Gül Bahçesi adlı restoranda masa {n} kirliydi.", "The Rose Garden closes at {n}.", "Otel {S} Caddesi üzerinde, denize {n} dakika.", "{S} sokak tarafı {n} metre sürüyor.", "Suite XL{n}00 faced the road.", "Our plane TK{n}23 landed early.", "На сцене {S} играли каждый вечер.", "Au bar {S} la musique était forte.", "En el restaurante {S} faltaba personal.", "Asansörü {n} dakika bekledik.", "Otopark {n} lira tuttu.", "See www.{s}.example for pictures.", "Tag us with @{s}_{n} online.", "Im Garten {S} war es schattig.", "All in all {n} days were enough.", "Room {n} smelled of paint.", "Zimmer {n} hatte keinen Balkon."]
 
 
 def composed(seed: int = 11, n: int = 1500) -> tuple[list, pii.Gazetteer]:
