@@ -11,9 +11,9 @@ GIVEN = "Alda Borek Cemre Dilan Ediz Feray Gonca Halide Irmak Jale Koray Lale Me
 FAMILY = "Korkmazer Yıldızlı Demirtepe Gündoğar Akçaova Ashworth Penrose Hollins Fairley Brandtner Winkelhof Oberhauser Duvallon Mercier Lambrey Oteruelo Sandoval Quiroga Соколовский Зорин Мельников Лавров".split()
 PEOPLE = ["Barmen {} Bey'e selam olsun.", "Resepsiyondaki {} Hanım sabırla dinledi.", "Özellikle {} elinden geleni yaptı.", "Odamızı temizleyen {} çok titizdi.", "Garson {} siparişi karıştırmadı.", "Waiter {} knew our table.", "The manager {} wrote back to us.", "A big thank you to {} for the tour.", "{} from housekeeping was quick.", "{} helped with the bags.", "Frau {} war sehr geduldig.", "Kellner {} brachte alles sofort.", "Herr {} vom Service half gleich.", "Besonders {} von der Bar blieb in Erinnerung.", "Merci à {} pour sa patience.", "Mme {} a tout arrangé.", "Serveur {} toujours souriant.", "Camarero {} siempre atento.", "La señora {} lo resolvió enseguida.", "Agradecemos a {} de recepción su ayuda.", "Администратор {} решила вопрос.", "Официант {} быстро принёс заказ.", "Спасибо {} за помощь с вещами."]
 PHONES = ["+90 599 {3} {2} {2}", "0{3}{7}", "0090{10}", "+90.599.{3}.{4}", "0(599) {3}-{2}-{2}", "0 599 {7}", "+44 20 7946 {4}", "020 7946 {4}", "+1 646-555-{4}", "(212) 555-{4}", "312.555.{4}", "+49 (0)30 {5}-{3}", "030/{8}", "030 {5} {3}", "0049 30 {8}", "06 {2} {2} {2} {2}", "+33 6 {2} {2} {2} {2}", "+34 6{2} {3} {3}", "6{2} {2} {2} {2}", "+7 (495) {3}-{2}-{2}", "+7495{7}", "8 495 {3} {2} {2}", "٠٥٩٩ ٢٧٠ ٦٣٢٧", "0599 {3} {4}"]
-PHONE_SAYS = ["Tel {}", "Tel: {}", "Telefon: {}", "Lütfen {} numarasını arayın dedim.", "WhatsApp numaram {} açık.", "Akşam {} hattından ulaşabilirsiniz.", "Sorun çıkarsa {} üzerinden yazın.", "Please phone {} after six.", "Reach me on {} tomorrow.", "The number I left was {} for updates.", "Rufen Sie {} an.", "Handy: {}", "Mein Telefon ist {} tagsüber.", "Mon portable est le {} le matin.", "Appelez le {} demain.", "Llámame al {} por la tarde.", "Móvil: {}", "Мой телефон {} всегда включён.", "Позвоните на {} утром.", "{}"]
+PHONE_SAYS = ["Bana {} numarasından dönüş yapın.", "Bizi {} numarasından bulabilirsiniz.", "Tel {}", "Tel: {}", "Telefon: {}", "Lütfen {} numarasını arayın dedim.", "WhatsApp numaram {} açık.", "Akşam {} hattından ulaşabilirsiniz.", "Sorun çıkarsa {} üzerinden yazın.", "Please phone {} after six.", "Reach me on {} tomorrow.", "The number I left was {} for updates.", "Rufen Sie {} an.", "Handy: {}", "Mein Telefon ist {} tagsüber.", "Mon portable est le {} le matin.", "Appelez le {} demain.", "Llámame al {} por la tarde.", "Móvil: {}", "Мой телефон {} всегда включён.", "Позвоните на {} утром.", "{}"]
 IDS = ["TCK", "TCK3", "S {8}", "U{8}", "U {8}", "{3}-{2}-{4}", "QQ {2} {2} {2} C", "X{8}", "{4} {6}", "{2} {2} {6}", "{8}G", "X-{7}-Z", "{2} {6} {1}", "C{2}X{2}", "L{1}X{6}", "L{1}Z{6}", "C{1}FK{2}T{2}", "L{2}X{2}T{2}", "L{1}X {3} {3}"]
-ID_SAYS = ["TC: {}", "TC kimlik {} yazılıydı.", "Kimlik no {} herkesin önünde söylendi.", "Belge numaram {} ekranda kaldı.", "Pasaport {} masada duruyordu.", "Passport no. {} stayed on the desk.", "Passport number: {}", "My insurance number {} was visible to all.", "Identity card {} was scanned twice.", "Personalausweis {} lag am Tresen.", "Reisepassnummer {} stand auf dem Zettel.", "Passnummer: {}", "Passeport n° {} photocopié sans demander.", "Ma pièce d'identité {} est restée là.", "Pasaporte {} fotografiado en la entrada.", "DNI {} a la vista de todos.", "Паспорт {} сфотографировали.", "ИНН {} записали в журнал."]
+ID_SAYS = ["The slip gave {} as my identity.", "Their list had {} as my passport.", "The label read {} as my insurance.", "TC: {}", "TC kimlik {} yazılıydı.", "Kimlik no {} herkesin önünde söylendi.", "Belge numaram {} ekranda kaldı.", "Pasaport {} masada duruyordu.", "Passport no. {} stayed on the desk.", "Passport number: {}", "My insurance number {} was visible to all.", "Identity card {} was scanned twice.", "Personalausweis {} lag am Tresen.", "Reisepassnummer {} stand auf dem Zettel.", "Passnummer: {}", "Passeport n° {} photocopié sans demander.", "Ma pièce d'identité {} est restée là.", "Pasaporte {} fotografiado en la entrada.", "DNI {} a la vista de todos.", "Паспорт {} сфотографировали.", "ИНН {} записали в журнал."]
 CODE_SAYS = ["The voucher {} did not work.", "Booking {} had another date.", "Reference {} was unknown to them.", "Order {} never came.", "Rezervasyon no {} bulunamadı.", "Kupon kodu {} geçmedi.", "Fatura {} yanlış kesildi.", "Fiş tarihi {d} idi.", "Buchungsnummer {} war falsch.", "Gutschein {} wurde nicht genommen.", "Rechnung {} stimmte nicht.", "Le bon {} n'était plus valable.", "Réservation {} introuvable.", "El bono {} no servía.", "Factura {} con errores.", "Ваучер {} не приняли.", "Номер брони {} потеряли."]
 CODES = ["{6}", "{8}", "{9}", "{11}", "{5}", "{10}", "K{1}R{2}X", "{2}HB{4}", "R{1}X{6}", "QT{2}-Z{3}"]
 ADDRESS_SAYS = ["Adres: {}", "Adresimiz {} olarak kayıtlı.", "Paketi {} adresine gönderin lütfen.", "Şu adrese bekliyorum: {}", "Address: {}", "We live at {}, please note.", "Send the forgotten coat to {} if found.", "The parcel should go to {} instead.", "Ich wohne {} und warte.", "Adresse: {}", "Bitte senden Sie den Koffer an {} zurück.", "J'habite {} depuis dix ans.", "Mon adresse : {}", "Vivo en {} y espero.", "Dirección: {}", "Мой адрес {} указан в анкете.", "Пришлите сумку на адрес {} почтой."]
