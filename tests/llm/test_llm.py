@@ -485,3 +485,11 @@ def test_found_queries_have_exactly_the_stated_columns(spark, name):
 
     df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) == COLUMNS[name]
+
+
+def test_batch_by_batch_gives_the_same_repeats(spark):
+    import __spark_entry__
+
+    q, d = __spark_entry__.queries(), "/root/testdata/sf0.001"
+    one = {(r.row_id_a, r.row_id_b) for r in q["p1_found"](spark, d).collect()}
+    assert {(r.row_id_a, r.row_id_b) for r in q["p1_batches"](spark, d).collect()} == one
