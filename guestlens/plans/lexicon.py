@@ -192,15 +192,17 @@ def set_dedupe_fuzzy(spark, d):
     A class goes where a similar one of higher standing exists.
     """
     s = table(spark, d, "scraped_reviews").where("comment <> ''").select("row_id", "comment", F.coalesce("helpful_count", F.lit(0)).alias("votes"))
-    path = scratch_path(spark, "shingles")
-    sim.shingled(s, "row_id", "comment").write.parquet(path)
-    t = spark.read.parquet(path).join(s.select(F.col("row_id").alias("id"), "votes"), "id")
-    classes = t.groupBy("h").agg(F.min_by(F.struct("id", "s"), F.struct(-F.col("votes"), "id")).alias("x"), F.max("votes").alias("votes")).select("x.id", "x.s", "votes")
-    pairs = sim.similar_pairs(classes.select("id", "s"), sim.THRESHOLD)
+    rows = sim.hashed(s, "row_id", "comment", "votes")
+    t = sim.sketched(rows, sim.word_classes(rows), sim.THRESHOLD)
+    path = scratch_path(spark, "classes")
+    best = F.min_by(F.struct("id", *sim.SKETCHED, "px"), F.struct(-F.col("votes"), "id"))
+    t.groupBy("h").agg(best.alias("x"), F.max("votes").alias("votes")).select("x.*", "votes").write.parquet(path)
+    classes = spark.read.parquet(path)
+    pairs = sim.similar_pairs(classes, s.select(F.col("row_id").alias("id"), F.col("comment").alias("text")), sim.THRESHOLD)
     v = classes.select("id", "votes")
     ranked = pairs.join(v.select(F.col("id").alias("a"), F.col("votes").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("votes").alias("vb")), "b")
     lower = ranked.select(F.when((F.col("va") > F.col("vb")) | (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    return classes.join(lower, "id", "left_anti").select(F.col("id").alias("row_id"))
+    return v.join(lower, "id", "left_anti").select(F.col("id").alias("row_id"))
 
 
 # ---- dates, metrics

@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from guestlens import session
 from guestlens.plans import lexicon
 from guestlens.sources import contents
 
@@ -68,3 +70,27 @@ def test_fuzzy_duplicates_keep_the_more_helpful(spark, tmp_path):
     assert {x.row_id for x in lexicon.set_dedupe_fuzzy(spark, str(tmp_path)).collect()} == {2, 4}
 
 
+def test_fuzzy_duplicates_write_less_than_their_shingles(spark, tmp_path):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    texts = [r.choices(words, k=r.randint(1, 120)) for _ in range(300)]
+    for i in range(200):  # copies with one to four words changed: on both sides of the threshold
+        t = texts[r.randrange(300)][:]
+        for _ in range(r.randint(1, 4)):
+            t[r.randrange(len(t))] = r.choice(words)
+        texts.append(t)
+    rows = [(i, " ".join(t), r.choice([None, 0, 1, 2])) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "row_id long, comment string, helpful_count int").write.parquet(f"{tmp_path}/scraped_reviews.parquet")
+    before = len(session.SCRATCH)
+    got = {x.row_id for x in lexicon.set_dedupe_fuzzy(spark, str(tmp_path)).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} for t in texts]
+    rank = lambda i: (-(rows[i][2] or 0), i)
+    best = {}
+    for i, t in enumerate(texts):
+        j = best.setdefault(tuple(t), i)
+        best[tuple(t)] = min(i, j, key=rank)
+    kept = sorted(best.values())
+    similar = [(i, j) for i in kept for j in kept if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert got == set(kept) - {max(p, key=rank) for p in similar} and len(similar) > 40
+    written = sum(os.path.getsize(os.path.join(d, f)) for p in session.SCRATCH[before:] for d, _, fs in os.walk(p.removeprefix("file://")) for f in fs if f.endswith(".parquet"))
+    assert written < 8 * sum(map(len, sets))  # a hash of 64 bits a shingle
