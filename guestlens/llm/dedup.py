@@ -5,9 +5,9 @@ once. Of the others, pairs of neighbouring words are winnowed to fingerprints: o
 rarest words, by word counts over the whole first batch that the store keeps; short comments have all their pairs too. A batch's fingerprints are the keys that pass the Bloom filter of their
 partition or that an earlier row of the batch has; of these the rarest are looked up in the fingerprint store - as many as
 sharing COVERAGE of the known keys leaves no way around (prefix filter). A candidate counts as a repeat when the words
-shared in order cover enough of both. Only first rows enter the fingerprint store, so copies never pile up there. Rows all
-of whose lookups are crowded are first compared with the first rows their keys lead to; what repeats one leaves the
-batch's index, and every key that remains is expanded whole. Sketches of the words bound what a pair can share, so that
+shared in order cover enough of both. Only first rows enter the fingerprint store, so copies never pile up there. Rows whose
+lookups are crowded are first compared with the first rows their keys lead to; of what repeats one only the rows before
+that one are still looked for, so the result doesn't depend on what counts as crowded. Every key that remains is expanded whole. Sketches of the words bound what a pair can share, so that
 most pairs need no texts.
 """
 
@@ -35,7 +35,7 @@ FINE = 48  # words of a comment below which all its pairs of neighbouring words
 MIN_WORDS = 5
 COVERAGE, FINE_COVERAGE = 0.75, 0.3  # share of a repeat's known fingerprints that its first row has, and of a short one's
 KEEP_FIRST, KEEP_REPEAT = 0.74, 0.6  # words in order shared, of the first row's and of the repeat's
-CROWD = 20_000  # rows a row's lookups lead to, beyond which the first rows they lead to are compared first
+CROWD = 20_000  # rows a row's lookups lead to, beyond which the first rows they lead to are compared first; a matter of time only
 SKETCH = 6  # words of 64 bits in a sketch
 BITS_PER_KEY, HASHES = 10, 4
 KEYS_PER_FILTER = 500_000
@@ -360,29 +360,20 @@ class Store:
             self.read("keys", self.KEYS).join(wanted, ["part", "key"], "left_semi").select("key", "row_id").write.option("compression", "zstd").parquet(f"{scratch}/stored")
             stored = spark.read.parquet(f"{scratch}/stored")
             passed = passed.select("key", "row_id")
-        led, rounds = None, 0
-        while True:
-            left = (lambda df: df.join(led.select(F.col("b").alias("row_id")), "row_id", "left_anti")) if led is not None else (lambda df: df)
-            postings = left(own) if stored is None else left(passed).unionByName(stored)
-            self.lookups(left(passed), postings, f, f"{scratch}/probes{rounds}")
-            probes = spark.read.parquet(f"{scratch}/probes{rounds}")
-            # rows that lead to crowds are compared with the crowds' first rows, again while that settles a good part of them
-            crowded = probes.where(F.col("reach") > CROWD)
-            n = crowded.select("row_id").distinct().count()
-            if not n:
-                break
-            self.sketched(crowded.select(F.col("leader").alias("a"), F.col("row_id").alias("b")).distinct(), f).write.parquet(f"{scratch}/first{rounds}")
-            first = self.checked(spark.read.parquet(f"{scratch}/first{rounds}"), f)
-            first.groupBy("b").agg(F.min("a").alias("a")).write.parquet(f"{scratch}/led{rounds}")
-            now = spark.read.parquet(f"{scratch}/led{rounds}")
-            led = now if led is None else led.unionByName(now)
-            rounds += 1
-            if now.count() * 10 < n:
-                probes = left(probes)
-                break
-        if led is not None:
-            own = own.join(led.select(F.col("b").alias("row_id")), "row_id", "left_anti")
-        self.expand(probes.select("key", "row_id", "need"), own, stored, f, scratch)
+        self.lookups(passed, stored, f, f"{scratch}/probes")
+        probes = spark.read.parquet(f"{scratch}/probes").withColumn("limit", F.col("row_id"))
+        # a crowded row that repeats the first row of `need` of its keys repeats that row or one before it, so only those before it
+        # are looked at for that row: what is found is the same as without, only sooner
+        led = None
+        crowded = probes.where(F.col("reach") > CROWD).groupBy(F.col("leader").alias("a"), F.col("row_id").alias("b")).agg(F.count("*").alias("hits"), F.first("need").alias("need"))
+        crowded.where("hits >= need").select("a", "b").write.parquet(f"{scratch}/crowded")
+        crowded = spark.read.parquet(f"{scratch}/crowded")
+        if not crowded.isEmpty():
+            self.sketched(crowded, f).write.parquet(f"{scratch}/first")
+            self.checked(spark.read.parquet(f"{scratch}/first"), f).groupBy("b").agg(F.min("a").alias("a")).write.parquet(f"{scratch}/led")
+            led = spark.read.parquet(f"{scratch}/led")
+            probes = probes.drop("limit").join(led.select(F.col("b").alias("row_id"), F.col("a").alias("limit")), "row_id", "left").withColumn("limit", F.coalesce("limit", "row_id"))
+        self.expand(probes.where("leader < limit").select("key", "row_id", "need", "limit"), own, stored, f, scratch)
         pairs = self.checked(spark.read.parquet(f"{scratch}/pairs"), f)
         if led is not None:
             pairs = pairs.unionByName(led.select("a", "b"))
@@ -397,11 +388,15 @@ class Store:
             near = spark.read.parquet(f"{scratch}/near{i}")
         return near
 
-    def lookups(self, passed: DataFrame, postings: DataFrame, f: DataFrame, path: str) -> None:
+    def lookups(self, passed: DataFrame, stored: DataFrame | None, f: DataFrame, path: str) -> None:
         """Writes (row_id, key, leader, need, reach): each row's rarest known keys, as many as leave no way around `need` hits; reach: rows behind them."""
-        known = postings.groupBy("key").agg(F.count("*").alias("df"), F.min("row_id").alias("leader"))
+        postings = passed.withColumn("own", F.lit(True))
+        if stored is not None:
+            postings = postings.unionByName(stored.withColumn("own", F.lit(False)))
+        k = W.partitionBy("key")
+        known = postings.withColumn("df", F.count("*").over(k)).withColumn("leader", F.min("row_id").over(k)).where("own AND leader < row_id").drop("own")
         w = W.partitionBy("row_id")  # a row's keys are bounded by its length
-        ranked = passed.join(known, "key").where("leader < row_id").withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "key")))
+        ranked = known.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "key")))
         # sharing the least share of n known keys leaves one hit among the floor(n * (1 - share)) + 1 rarest, and two among one more;
         # short rows have the lesser share, and so have rows with lost letters, which keep few pairs: one hit is enough there
         ranked = ranked.join(f.select("row_id", "n_words", "lost"), "row_id")
@@ -428,7 +423,7 @@ class Store:
         return verified(pairs.join(later, "b").join(pairs.join(first, "a"), ["a", "b"]))
 
     def expand(self, probes: DataFrame, own: DataFrame, stored: DataFrame | None, f: DataFrame, scratch: str) -> None:
-        """Writes the pairs (a, b) worth verifying: every row behind every looked-up key, as far as the sketches allow."""
+        """Writes the pairs (a, b) worth verifying: every row before `limit` behind every looked-up key, as far as the sketches allow."""
         spark = self.spark
         probes.select("key").distinct().write.parquet(f"{scratch}/wanted")
         wanted = spark.read.parquet(f"{scratch}/wanted")
@@ -438,7 +433,7 @@ class Store:
         a, b = self.rows(f, *SKETCHED), f
         index = postings.withColumnRenamed("row_id", "a").join(a.select(F.col("row_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in SKETCHED)), "a")
         asked = probes.withColumnRenamed("row_id", "b").join(b.select(F.col("row_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in SKETCHED)), "b")
-        asked.join(index, "key").where("a < b").where(may_repeat()).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("a", "b").write.parquet(f"{scratch}/pairs")
+        asked.join(index, "key").where("a < limit").where(may_repeat()).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("a", "b").write.parquet(f"{scratch}/pairs")
 
     def prescreen(self, own: DataFrame) -> DataFrame:
         """The keys that a filter knows (stored), or that an earlier row of the batch has."""

@@ -257,6 +257,27 @@ def test_crowded_rows_are_compared_with_first_rows(spark, monkeypatch):
     test_two_crowds_sharing_a_stock_text_in_one_batch(spark)
 
 
+def test_repeats_do_not_depend_on_what_is_crowded(spark, monkeypatch):
+    r = random.Random(21)
+    words = [f"word{i}" for i in range(300)]
+    rows, n = [], 0
+    for _ in range(12):  # families that drift away from their first row, so that rows repeat some of the earlier ones only
+        t = r.choices(words, k=60)
+        for _ in range(20):
+            rows.append((n, n % 2, " ".join(t)))
+            n += 1
+            if r.random() < 0.8:
+                for _ in range(6):
+                    t[r.randrange(60)] = r.choice(words)
+    df = spark.createDataFrame(rows, "row_id long, batch_no int, comment string")
+    found = []
+    for crowd in (-1, 20, 10**9):
+        monkeypatch.setattr(dedup, "CROWD", crowd)
+        out = dedup.repeats(spark, df, [F.col("batch_no") == b for b in range(2)], filters=2)
+        found.append({(x.row_id_a, x.row_id_b) for x in out.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
 def test_bloom_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(-(2**62), 2**62, 5000)
     bits = np.zeros(10_000, np.uint8)
